@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"entry": names, "ordinary": [seen[0][x] for x in names], "toxic": [seen[1][x] for x in names]})
 
     counted = rows.mapInPandas(count, "entry string, ordinary long, toxic long").groupBy("entry").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"))
-    counted = counted.persist()
+    # a bounded sample's words, whatever the table's size: few tasks, each of which sends its best to the driver
+    counted = counted.coalesce(8).persist()
     totals = counted.where("entry = ''").first()
     total0, total1 = (int(totals["n0"]), int(totals["n1"])) if totals else (0, 0)
     cautious = F.greatest(F.col("n1") - 2 * F.sqrt("n1"), F.lit(0.0)) + 0.5
