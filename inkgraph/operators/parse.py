@@ -68,7 +68,8 @@ def parse_documents(docs: DataFrame, digest: str = "sha256") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([parse_one(t, digest) for t in texts], columns=schema.names)
 
-    return docs.withColumn("parsed", run("text"))
+    # else filters that Spark infers from explodes would run the parser a second time
+    return docs.withColumn("parsed", run.asNondeterministic()("text"))
 
 
 def sections(parsed: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def syntax_nodes(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([_records(NODE, D.nodes(D.parse(t or ""))) for t in texts], dtype=object)
 
-    return docs.select("file", F.inline(run("text")))
+    return docs.select("file", F.inline(run.asNondeterministic()("text")))
 
 
 def character_references(text: Column) -> Column:

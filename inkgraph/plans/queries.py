@@ -18,7 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out anew where its scan has fewer tasks than there are cores; large tables stay as they are."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def text_of(*parts: Column | str) -> Column:
@@ -98,8 +101,9 @@ def sections_of(vault: DataFrame) -> DataFrame:
 
 
 def resolved_of(vault: DataFrame) -> DataFrame:
-    parsed = parse.parse_documents(vault)
-    return links.resolve(parse.raw_links(parsed), parse.sections(parsed), vault.select("file"))
+    """Resolved links; sections and links come from one parse, which is kept for the query."""
+    parsed = parse.parse_documents(vault).select("file", F.struct("parsed.sections", "parsed.links").alias("parsed")).persist()
+    return links.resolve(parse.raw_links(parsed), parse.sections(parsed), parsed.select("file"))
 
 
 # ---- queries
