@@ -87,6 +87,12 @@ def fold(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan, dealt out anew where it has fewer tasks than there are cores; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def hashed_sample(df: DataFrame, class_col: str, id_col: str, per_class: int) -> DataFrame:
     """At most ``per_class`` ids of each class (few classes), those of the smallest hash.
 
