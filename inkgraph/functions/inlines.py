@@ -115,15 +115,22 @@ class InlineParser:
             else:
                 out.append(Inline("text", start, at))
         self._emphasis(out, runs, 0)
-        for node in out:
-            self._fill(node)
-        return [n for n in out if n.kind != "text" or n.start < n.end]
-
-    def _fill(self, node: Inline) -> None:
-        if node.kind == "text":
-            node.text = self.text[node.start : node.end]
-        for child in node.children:
-            self._fill(child)
+        return self._finish(out)
+
+    def _finish(self, nodes: list[Inline]) -> list[Inline]:
+        """Texts that touch as one, with their characters."""
+        out: list[Inline] = []
+        for node in nodes:
+            node.children = self._finish(node.children)
+            if node.kind != "text":
+                out.append(node)
+            elif node.start < node.end:
+                if out and out[-1].kind == "text" and out[-1].end == node.start:
+                    out[-1].end = node.end
+                else:
+                    out.append(Inline("text", node.start, node.end))
+                out[-1].text = self.text[out[-1].start : out[-1].end]
+        return out
 
     def _construct(self, char: str, at: int, end: int, out: list, runs: list, brackets: list) -> int | None:
         """Parse what begins with ``char``; the offset after it, or None if it is text."""
