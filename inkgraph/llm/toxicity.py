@@ -91,19 +91,20 @@ class Model:
 
 
 def _calibrate(hits: dict[tuple[int, int], int], rate: float) -> list[float]:
-    """Share of toxic rows among those of each saving, non-decreasing, each with one row of prior at ``rate``; the
-    two classes of the sample are weighed back to their shares in all labelled rows."""
+    """Share of toxic rows among those of each saving, non-decreasing, each saving that was met having one row of
+    prior at ``rate``; savings that weren't met lie between their neighbours in log odds. The two classes of the sample are
+    weighed back to their shares in all labelled rows."""
     n = [max(1, sum(v for (y, _), v in hits.items() if y == c)) for c in (0, 1)]
+    prior = 1 / sum(n)
     blocks: list[list[float]] = []
-    for s in range(MOST + 1):
-        tox = rate * hits.get((1, s), 0) / n[1]
-        clean = (1 - rate) * hits.get((0, s), 0) / n[0]
-        prior = 1 / sum(n)
-        blocks.append([tox + rate * prior, tox + clean + prior, 1])
+    for s in sorted({s for _, s in hits}):
+        tox, clean = rate * hits.get((1, s), 0) / n[1], (1 - rate) * hits.get((0, s), 0) / n[0]
+        blocks.append([tox + rate * prior, tox + clean + prior, [s]])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            top = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], top, strict=True)]
-    return [float(min(1.0, a / b)) for a, b, k in blocks for _ in range(int(k))]
+            a, b, met = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + a, blocks[-1][1] + b, blocks[-1][2] + met]
+    points = [(s, np.log(a / (b - a))) for a, b, met in blocks for s in met] or [(0, np.log(rate / (1 - rate)))]
+    return [float(x) for x in 1 / (1 + np.exp(-np.interp(range(MOST + 1), *zip(*points, strict=True))))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic."""
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).alias("_y"))
     sizes = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
-    rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
+    rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 5)
     ids = F.broadcast(hashed_sample(marked, "_y", "_i", ROWS_PER_CLASS))
     sample = docs.join(ids, docs[id_col] == ids["_i"]).where(F.col(text_col).isNotNull())
     single = F.broadcast(_without_copies(sample.select("_i", F.col(text_col).alias("_t"))))
