@@ -351,6 +351,13 @@ WITH e AS (
 _SAID = "'wikilink ''[[' || {0} || ']]'' in section ''' || {1} || ''' of ''' || {2} || ''' does not resolve: ' || {3}"
 
 
+#: Columns that are 32-bit integers in the queries and wider in the SQL.
+_INTEGERS = {
+    "sections_v1": ["ord", "start_byte", "end_byte"], "line_ranges": ["line_start", "line_end"], "outline": ["ord"], "duplicate_headings": ["ord"],
+    "document_sections": ["end_byte"], "raw_wikilinks": ["link_ord"], "levenshtein": ["to_type", "to_brand"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     m = "c_custkey % 7"
     out = {
@@ -424,4 +431,7 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'block', 'list', c FROM x UNION ALL SELECT 'block', 'item', c FROM x UNION ALL SELECT 'inline', 'wikilink', 5 * c + 2 * n FROM x
           UNION ALL SELECT 'inline', 'code', c FROM x UNION ALL SELECT 'inline', 'strong', c FROM x UNION ALL SELECT 'inline', 'escaped', c FROM x""",
     }
+    for name, columns in _INTEGERS.items():
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+        out[name] = f"SELECT * REPLACE ({casts}) FROM ({out[name]})"
     return out | {name: f"{_search_sql(query)} SELECT score, file, heading_path FROM r WHERE score IS NOT NULL" for name, query in SEARCHES.items()}
