@@ -8,10 +8,14 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import accumulate
 
-from inkgraph.functions.blocks import Block, BlockParser, Definition, definitions, front_matter, join, tables
+from inkgraph.functions.blocks import Block, BlockParser, Definition, definitions, front_matter, join, normal_label, tables
 from inkgraph.functions.inlines import Inline, InlineParser, flatten, wikilinks
 
 
+#: The characters with the Unicode property White_Space, which trimming removes.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 class Offsets:
     """Byte offsets of characters."""
 
@@ -51,8 +55,6 @@ def parse(text: str, front_allowed: bool = True) -> Document:
     parser = BlockParser(text, front[0] if front else 0)
     found: list[Definition] = []
     notes: set[str] = set()
-    from inkgraph.functions.blocks import normal_label
-
     blocks = definitions(text, tables(text, parser.root.children), found, notes)
     diagnostics = list(parser.diagnostics)
     if front and not front[1]:
@@ -64,7 +66,7 @@ def parse(text: str, front_allowed: bool = True) -> Document:
 
 
 def heading_text(doc: Document, block: Block) -> str:
-    return flatten(doc.inlines(block)).strip()
+    return flatten(doc.inlines(block)).strip(WHITE)
 
 
 def links(doc: Document, block: Block) -> list[tuple[int, int, str, str | None]]:

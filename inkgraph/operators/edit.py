@@ -8,12 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.functions.document import heading_text, parse
+from inkgraph.functions.document import WHITE, heading_text, parse
 from inkgraph.functions.sections import Section, section_tree
 
-#: What Rust-like trimming takes for white space at the end of a body.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-
 
 class EditRejected(ValueError):
     """kind: not_found, invalid_target, conflict, escape or restructure."""

@@ -76,7 +76,7 @@ def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def write_file(root: str, file: str, text: str) -> None:
     """Write beside the file, then rename over it; nothing is left behind on failure."""
     path = os.path.join(root, file)
-    beside = path + ".context-tmp"
+    beside = path + ".edit-tmp"
     try:
         with open(beside, "wb") as out:
             out.write(text.encode("utf-8"))
