@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkgraph.llm.shared import hashed_sample
+from inkgraph.llm.shared import discard, hashed_sample, materialize
 from inkgraph.llm.zstd import compressor
 
 THRESHOLD = 0.3
@@ -118,9 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 5)
     ids = F.broadcast(hashed_sample(marked, "_y", "_i", ROWS_PER_CLASS))
-    sample = docs.join(ids, docs[id_col] == ids["_i"]).where(F.col(text_col).isNotNull())
-    single = F.broadcast(_without_copies(sample.select("_i", F.col(text_col).alias("_t"))))
-    rows = sample.join(single, "_i", "left_semi").select("_y", F.col(text_col).alias("_t"), (F.pmod(F.xxhash64("_i", F.lit(7)), F.lit(3)) == 0).alias("_held"))
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+    # written, as all that follows reads the sample again and shouldn't read the table
+    sample = materialize(texts.join(ids, "_i"), "toxic-sample")
+    single = F.broadcast(_without_copies(sample.select("_i", "_t")))
+    rows = sample.join(single, "_i", "left_semi").select("_y", "_t", (F.pmod(F.xxhash64("_i", F.lit(7)), F.lit(3)) == 0).alias("_held"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -164,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     held = rows.where("_held").mapInPandas(measure, "y int, s int").groupBy("y", "s").count().collect()
     model.scores = _calibrate({(r["y"], r["s"]): r["count"] for r in held}, rate)
+    discard(sample)
     return model
 
 
