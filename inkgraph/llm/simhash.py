@@ -219,7 +219,7 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each near-duplicate group; rows that repeat that id
-    all stay, being one document, as do rows without an id that are alone in their group."""
+    all stay, being one document, as do rows without an id, which no name tells from each other."""
     found = near_duplicates(docs, id_col, text_col, shingle, budget)
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
