@@ -51,7 +51,8 @@ def _shrunk(level: DataFrame, raw: str) -> DataFrame:
     rho from Pearson's statistic, whose mean is the sum of 1 + (n - 1) rho for beta-binomial counts."""
     n, k, p = F.col("n"), F.col("k"), F.col(raw)
     chi = F.sum(F.when(n > 0, (k - n * p) * (k - n * p) / (n * p * (1 - p))))
-    rho = (chi - F.sum((n > 0).cast("long"))) / F.sum(F.when(n > 0, n - 1))
+    # no group of two or more outcomes tells no spread
+    rho = (chi - F.sum((n > 0).cast("long"))) / F.nullif(F.sum(F.when(n > 0, n - 1)), F.lit(0))
     rho = F.greatest(F.least(F.coalesce(rho, F.lit(0.5)), F.lit(RHO[1])), F.lit(RHO[0]))
     return level.agg((1 / rho - 1).alias("strength"))
 
