@@ -202,6 +202,8 @@ def test_toxicity(spark):
     assert len(held) > 50 and sum(r["predicted"] != truth[r["doc_id"]] for r in held) <= 1
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in found)
     assert {r["predicted"] for r in found if not r["text"]} == {0}
+    named = docs.withColumns({c: F.lit("x") for c in ("_i", "_t", "_y", "_held", "toxic", "entry")})
+    assert toxicity.fit(named, marks.where(fold("doc_id", 4) != 2)).scores == model.scores
     empty = toxicity.fit(docs.limit(0), marks.limit(0))
     assert toxicity.score(docs, empty).count() == len(rows)
     assert toxicity.score(docs.limit(0), model).count() == 0
@@ -292,6 +294,14 @@ def test_hosts(spark):
     assert hosts.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+@pytest.mark.parametrize("urls", [["http://a.org/x"], ["http://a.org/x", "http://b.com/de/", None, "http://c.net/"], [None], ["no scheme", "http://a.net"]])
+def test_hosts_of_single_pages(spark, urls):
+    """No host, domain or suffix has two outcomes, or any."""
+    found = hosts.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert sorted(r["page_id"] for r in found) == list(range(len(urls)))
+    assert all(0 <= r["bound"] + 1 and r["verdict"] in ("allow", "block") for r in found)
+
+
 def test_reputation_shrinks(spark):
     """A host with many bad pages is blocked, one bad page alone is not; siblings share some of the blame."""
     rows = [(i, f"http://bad.evil.net/{i}", 1) for i in range(200)] + [(300, "http://bad.evil.net/new", None), (301, "http://one.fine.net/a", 1), (302, "http://one.fine.net/b", None)]
