@@ -13,7 +13,7 @@ from inkgraph.functions.sections import Section, section_tree
 
 
 class EditRejected(ValueError):
-    """kind: not_found, invalid_target, conflict, escape or restructure."""
+    """kind: not_found, invalid_target, conflict, escape, restructure or io."""
 
     def __init__(self, kind: str, message: str, current_hash: str | None = None):
         super().__init__(message)

@@ -22,34 +22,45 @@ class NotFound(LookupError):
         self.message, self.suggestions = message, suggestions
 
 
+#: Replaced files after which a snapshot's tables are written anew, which ends their lineage.
+REPLACED = 16
+
+
 class Snapshot:
     """Tables of one state of the vault. The parser runs once for all of them."""
 
-    def __init__(self, docs: DataFrame, said: DataFrame | None, digest: str):
-        self.docs = docs
-        self.parsed = parse.parse_documents(docs, digest).persist()
+    def __init__(self, parsed: DataFrame, said: DataFrame, base: DataFrame | None):
+        """Of parsed documents (file, text, parsed) and the diagnostics (file, message) of reading and parsing them;
+        ``base`` is the cached table that ``parsed`` rests on."""
+        self.parsed, self.said, self.base = parsed, said, base
+        self.docs = self.parsed.select("file", "text")
         self.files = self.parsed.select("file")
         self.sections = parse.sections(self.parsed)
         self.resolved = links.resolve(parse.raw_links(self.parsed), self.sections, self.files)
         self.backlinks = links.backlinks(self.resolved)
-        found = parse.document_diagnostics(self.parsed).union(links.link_diagnostics(self.resolved))
-        found = found.union(said) if said is not None else found
-        self.diagnostics = found.orderBy(F.asc_nulls_first("file"), "message")
+        self.diagnostics = self.said.union(links.link_diagnostics(self.resolved)).orderBy(F.asc_nulls_first("file"), "message")
+
+    @classmethod
+    def build(cls, docs: DataFrame, said: DataFrame | None, digest: str) -> Snapshot:
+        parsed = parse.parse_documents(docs.select("file", "text"), digest).persist()
+        own = parse.document_diagnostics(parsed)
+        return cls(parsed, own if said is None else own.union(said), parsed)
 
     def close(self) -> None:
-        self.parsed.unpersist()
+        if self.base is not None:
+            self.base.unpersist()
 
 
 class Vault:
     def __init__(self, spark: SparkSession, root: str | None = None, docs: DataFrame | None = None, digest: str = "sha256"):
         """Of a folder (``root``) or of a table (``docs``: file, text); only a folder can be edited."""
         self.spark, self.root, self.digest, self._lock = spark, root, digest, threading.RLock()
-        self.snapshot = self._load(docs)
+        self.snapshot, self._replaced = self._load(docs), 0
 
     def _load(self, docs: DataFrame | None = None) -> Snapshot:
         if docs is not None:
-            return Snapshot(docs, None, self.digest)
-        return Snapshot(*source.read_folder(self.spark, self.root), self.digest)
+            return Snapshot.build(docs, None, self.digest)
+        return Snapshot.build(*source.read_folder(self.spark, self.root), self.digest)
 
     def files(self) -> DataFrame:
         return self.snapshot.files.orderBy("file")
@@ -102,7 +113,7 @@ class Vault:
             fresh = self._load(docs)
             old = self.snapshot
             changes = self.difference(old, fresh)
-            self.snapshot = fresh
+            self.snapshot, self._replaced = fresh, 0
             old.close()
             return changes
 
@@ -120,25 +131,38 @@ class Vault:
 
     def reindex_file(self, file: str) -> None:
         """Read one file again, of any extension, and resolve all links anew."""
-        with open(os.path.join(self.root, file), encoding="utf-8", newline="") as handle:
-            self._replace(file, handle.read())
+        with self._lock:
+            self._replace(*self._read(file))
+
+    def _read(self, file: str) -> tuple[str, str]:
+        """(key, text on disk) of the file that a request names; raises NotFound."""
+        key = self.spark.range(1).select(X.normalize_path(F.lit(file))).first()[0]
+        if key is None:
+            raise NotFound(f"file '{file}' is not a vault-relative path", [])
+        try:
+            with open(os.path.join(self.root, key), encoding="utf-8", newline="") as handle:
+                return key, handle.read()
+        except (OSError, UnicodeDecodeError) as error:
+            raise NotFound(f"file '{file}' could not be read: {error}", self._nearest(key, self.snapshot.files)) from error
 
     def _replace(self, file: str, text: str) -> None:
-        one = self.spark.createDataFrame([(file, text)], "file string, text string")
-        self.snapshot = Snapshot(self.snapshot.docs.where(F.col("file") != file).union(one), None, self.digest)
+        """Take ``text`` for a file; only it is parsed. Diagnostics of reading and parsing stay those of the last
+        whole load."""
+        old = self.snapshot
+        one = parse.parse_documents(self.spark.createDataFrame([(file, text)], "file string, text string"), self.digest)
+        parsed = old.parsed.where(F.col("file") != file).unionByName(one)
+        self._replaced += 1
+        base = old.base
+        if self._replaced % REPLACED == 0:
+            parsed, base = source.hold(parsed), None
+            old.close()
+        self.snapshot = Snapshot(parsed, old.said, base)
 
     def edit_section(self, file: str, heading_path: str, body: str, expected_hash: str) -> DataFrame:
         """Replace a section's body if its hash is ``expected_hash``; the file's outline with hashes. The file on disk,
         not the index, is what is edited."""
         with self._lock:
-            key = self.spark.range(1).select(X.normalize_path(F.lit(file))).first()[0]
-            if key is None:
-                raise NotFound(f"file '{file}' is not a vault-relative path", [])
-            try:
-                with open(os.path.join(self.root, key), encoding="utf-8", newline="") as handle:
-                    text = handle.read()
-            except (OSError, UnicodeDecodeError) as error:
-                raise NotFound(f"file '{file}' could not be read: {error}", self._nearest(key, self.snapshot.files)) from error
+            key, text = self._read(file)
             try:
                 edited = edit.apply_edit(key, text, heading_path, body, expected_hash, self.digest)
             except edit.EditRejected as error:
@@ -146,7 +170,10 @@ class Vault:
                     raise
                 own = parse.sections(parse.parse_documents(self.spark.createDataFrame([(key, text)], "file string, text string")))
                 raise NotFound(error.message, self._nearest(heading_path, own.select("heading_path"))) from error
-            source.write_file(self.root, key, edited)
+            try:
+                source.write_file(self.root, key, edited)
+            except OSError as error:
+                raise edit.EditRejected("io", f"failed to write '{key}': {error}") from error
             self._replace(key, edited)
             own = self.snapshot.sections.where(F.col("file") == key)
             return retrieve.outline(own).join(own.select("ord", "content_hash"), "ord").orderBy("ord")

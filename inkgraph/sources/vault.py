@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ def list_markdown(root: str) -> tuple[list[str], list[tuple[str | None, str]]]:
         names.sort()
         for name in files:
             path = os.path.join(folder, name)
-            if name.lower().endswith(".md") and len(name) > 3 and not os.path.islink(path):
+            if name.lower().endswith(".md") and len(name) > 3 and os.path.isfile(path) and not os.path.islink(path):
                 relative = os.path.relpath(path, root).replace(os.sep, "/")
                 try:
                     relative.encode("utf-8")
@@ -36,10 +37,25 @@ def list_markdown(root: str) -> tuple[list[str], list[tuple[str | None, str]]]:
     return sorted(found), said
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, in the checkpoint folder that all executors share: later changes of its source, or lost
+    executors, don't alter it. Where ``spark.checkpoint.dir`` is unset: a temporary folder under a local master, else
+    one beside the warehouse's tables."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+            folder = tempfile.mkdtemp(prefix="vault-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vault"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def read_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(documents (file, text), diagnostics (file, message)) of a folder that executors can read.
 
-    The driver lists names; tasks read the files. What isn't UTF-8 or can't be read becomes a diagnostic."""
+    The driver lists names; tasks read the files, at once, so that the tables are the folder's state at this moment.
+    What isn't UTF-8 or can't be read becomes a diagnostic."""
     names, said = list_markdown(root)
     listing = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, min(len(names), 10_000) // 64 + 1), "file")
     base = os.path.abspath(root)
@@ -56,7 +72,7 @@ def read_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             if rows:
                 yield pd.DataFrame(rows, columns=["file", "text", "message"])
 
-    rows = listing.mapInPandas(run, "file string, text string, message string").persist()
+    rows = hold(listing.mapInPandas(run, "file string, text string, message string"))
     early = spark.createDataFrame(said, "file string, message string")
     return rows.where("message IS NULL").select("file", "text"), early.union(rows.where("message IS NOT NULL").select("file", "message"))
 

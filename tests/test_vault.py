@@ -102,6 +102,42 @@ def test_edit_and_reindex(spark, folder):
     assert vault.reindex() == {"files_added": [], "files_removed": [], "files_changed": []}
 
 
+def test_index_is_the_state_when_it_was_read(spark, folder):
+    save(folder, {"broken.md": "---\na: [\n---\n# B\n"})
+    with open(os.path.join(folder, "bytes.md"), "wb") as out:
+        out.write(b"# \xff")
+    os.mkfifo(os.path.join(folder, "pipe.md"))
+    vault = Vault(spark, folder)
+    save(folder, {"lore/weapons.md": "# Weapons\n\n## Gun Skill\nChanged.\n"})
+    assert vault.get_section("lore/weapons.md", "Weapons > Gun Skill")["content"] == "## Gun Skill\nAdvanced firearm handling."
+    assert vault.search("skill").count() == 6
+    inside = {"file": "lore/weapons.md", "added": [], "removed": [], "modified": ["Weapons > Gun Skill"]}
+    assert vault.reindex() == {"files_added": [], "files_removed": [], "files_changed": [inside]}
+    before = {tuple(r) for r in vault.diagnostics().collect()}
+    assert {f for f, _ in before} >= {"bytes.md", "player.md"}
+    save(folder, {"plain.txt": "# Plain\n[[weapons]]"})
+    vault.reindex_file("./plain.txt")
+    assert {tuple(r) for r in vault.diagnostics().collect()} == before
+    assert vault.backlinks("lore/weapons.md").count() == 3
+    with pytest.raises(NotFound) as error:
+        vault.reindex_file("lore/weapon.md")
+    assert error.value.suggestions[0] == "lore/weapons.md"
+    with pytest.raises(NotFound):
+        vault.reindex_file("../player.md")
+
+
+def test_many_replacements(spark, folder, monkeypatch):
+    monkeypatch.setattr("inkgraph.plans.vault.REPLACED", 2)
+    vault = Vault(spark, folder)
+    for i in range(3):
+        path = "Weapons > Gun Skill"
+        rows = vault.edit_section("lore/weapons.md", path, f"Body {i}", vault.get_section("lore/weapons.md", path)["provenance"]["content_hash"])
+        assert rows.count() == 2
+    assert vault.get_section("lore/weapons.md", path)["content"] == "## Gun Skill\nBody 2"
+    assert vault.files().count() == 3 and vault.backlinks("lore/weapons.md").count() == 2
+    assert vault.reindex() == {"files_added": [], "files_removed": [], "files_changed": []}
+
+
 def _hash(text, path):
     return next(s.content_hash for s in section_tree(parse(text)) if s.heading_path == path)
 
