@@ -72,8 +72,9 @@ class Classifier:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary of each language from a bounded sample of ``labelled``: ROWS_PER_LANGUAGE rows of the smallest
-    id hash, a passage of BYTES_PER_ROW from each. Null labels and texts are left out."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    id hash, a passage of BYTES_PER_ROW from each; null texts have none. Null labels are left out. Rows are chosen
+    without their texts, so that the column is read once."""
+    rows = labelled.where(F.col(lang_col).isNotNull())
     if len(often := [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES + 1).collect()]) > LANGUAGES:
         rows = rows.where(F.col(lang_col).isin(often[:LANGUAGES]))
     ids = hashed_sample(rows, lang_col, id_col, ROWS_PER_LANGUAGE)
@@ -88,7 +89,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 cut.append(data[start : start + BYTES_PER_ROW])
             yield pd.DataFrame({"id": batch["_i"], "lang": batch["_l"], "passage": cut})
 
-    taken = chosen.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
+    taken = chosen.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
     by: dict[str, list[bytes]] = {}
     for row in sorted(taken.mapInPandas(passages, "id string, lang string, passage binary").collect()):
         by.setdefault(row["lang"], []).append(bytes(row["passage"]))
