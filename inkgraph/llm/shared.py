@@ -10,6 +10,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Ranges of hashes in which a sample is ordered.
+SLICES = 64
 
 _roots: dict[str, tuple[SparkSession, str]] = {}
 _serial = itertools.count()
@@ -97,16 +101,26 @@ def hashed_sample(df: DataFrame, class_col: str, id_col: str, per_class: int) ->
     """At most ``per_class`` ids of each class (few classes), those of the smallest hash.
 
     Hashes are uniform, so a limit on them that lets half as many again through, by each class's count, leaves the
-    ordering of ids a bounded number of rows whatever the table's size."""
-    rows = df.select(class_col, id_col).where(F.col(class_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.withColumn("_hash", F.xxhash64(id_col))
-    counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect()}
-    limit = F.lit(0.0)
+    ordering of ids a bounded number of rows whatever the table's size. They are ordered within SLICES ranges of
+    hashes, whose sizes tell what goes before each."""
+    rows = df.select(F.col(class_col).alias("_class"), F.col(id_col).alias("_id")).where("_class IS NOT NULL AND _id IS NOT NULL")
+    rows = rows.withColumn("_hash", F.xxhash64("_id"))
+    counts = {r[0]: r[1] for r in rows.groupBy("_class").count().collect()}
+    limit = F.lit(1.0)
     for value, n in counts.items():
-        limit = F.when(F.col(class_col) == F.lit(value), F.lit((1.5 * per_class + 100) / n)).otherwise(limit)
-    order = Window.partitionBy(class_col).orderBy("_hash", id_col)
-    few = rows.where(F.col("_hash") / 2.0**64 + 0.5 < limit).withColumn("_rank", F.row_number().over(order))
-    return few.where(F.col("_rank") <= per_class).select(class_col, id_col)
+        limit = F.when(F.col("_class") == F.lit(value), F.lit(min(1.0, (1.5 * per_class + 100) / n))).otherwise(limit)
+    at = F.col("_hash") / 2.0**64 + 0.5
+    few = rows.where(at <= limit).withColumn("_slice", F.floor(at / limit * SLICES))
+    before, seen = [], {}
+    for value, number, n in sorted(map(tuple, few.groupBy("_class", "_slice").count().collect())):
+        before.append((value, number, seen.get(value, 0)))
+        seen[value] = seen.get(value, 0) + n
+    kind = rows.schema["_class"].dataType
+    schema = T.StructType([T.StructField("_class", kind), T.StructField("_slice", T.LongType()), T.StructField("_before", T.LongType())])
+    wanted = F.broadcast(df.sparkSession.createDataFrame([b for b in before if b[2] < per_class], schema))
+    order = Window.partitionBy("_class", "_slice").orderBy("_hash", "_id")
+    ranked = few.join(wanted, ["_class", "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= per_class).select(F.col("_class").alias(class_col), F.col("_id").alias(id_col))
 
 
 def let(value: Column, body) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkgraph.llm import ann, hosts, langid, linededup, minhash, packing, pieces, simhash, toxicity, warc
 from inkgraph.llm.components import connected_components
-from inkgraph.llm.shared import fold
+from inkgraph.llm.shared import fold, hashed_sample
 
 DOCS = "doc_id long, text string"
 #: Extra columns under names that operators use themselves.
@@ -209,6 +209,16 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("per_class", [1, 40, 5000])
+def test_hashed_sample_is_of_the_least_hashes(spark, per_class):
+    rows = [(("a", "b", "b", None)[i % 4], i // 2 if i % 5 else None, "x") for i in range(6000)]
+    frame = spark.createDataFrame(rows, "c string, i long, _hash string")
+    hashed = frame.where("c IS NOT NULL AND i IS NOT NULL").select("c", "i", F.xxhash64("i")).collect()
+    want = sorted((c, i) for k in "ab" for c, i, _ in sorted((r for r in hashed if r[0] == k), key=lambda r: (r[2], r[1]))[:per_class])
+    assert sorted(map(tuple, hashed_sample(frame, "c", "i", per_class).collect())) == want
+    assert hashed_sample(frame.limit(0), "c", "i", per_class).count() == 0
+
+
 # ---- packing
 
 
