@@ -182,10 +182,9 @@ def _without_copies(sample: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["s0", "s1", "s2", "s3"]).assign(_i=batch["_i"].to_numpy())
 
     signed = sample.mapInPandas(sign, "s0 long, s1 long, s2 long, s3 long, _i long")
-    for k in range(4):
-        first = F.min("_i").over(Window.partitionBy(f"s{k}"))
-        signed = signed.withColumn(f"f{k}", first)
-    return signed.where(" AND ".join(f"_i = f{k}" for k in range(4))).select("_i").distinct()
+    each = signed.select("_i", F.posexplode(F.array("s0", "s1", "s2", "s3")).alias("k", "s"))
+    least = each.groupBy("k", "s").agg(F.min("_i").alias("_i"))
+    return least.groupBy("_i").agg(F.countDistinct("k").alias("n")).where("n = 4").select("_i")
 
 
 def signature(text: str, size: int = 5) -> list[int]:
