@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkgraph.llm import ann, hosts, langid, linededup, minhash, packing, pieces, simhash, toxicity, warc
+from inkgraph.llm import ann, hosts, langid, linededup, minhash, nearsets, packing, pieces, simhash, toxicity, warc
 from inkgraph.llm.components import connected_components
 from inkgraph.llm.shared import fold, hashed_sample
 
@@ -107,6 +107,47 @@ def test_simhash_edges(spark):
     assert 2 not in {r["doc_id"] for r in kept.collect()} and set(kept.columns) == set(clash(spark, rows).columns)
 
 
+# ---- near-duplicates by shingle sets
+
+
+def brute_kept(rows):
+    """(doc_id, text) that stay, by all pairs."""
+    split = [(t or "").lower().split() for _, t in rows]
+    own = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {""} for w in split]
+    group = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if own[i] == own[j] or len(own[i] & own[j]) * 5 >= len(own[i] | own[j]) * 4:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return [r for r, g in zip(rows, group, strict=True) if r[0] is None or r[0] == least[g]]
+
+
+@pytest.mark.parametrize("hub", [256, 3])
+def test_near_sets_match_brute_force(spark, monkeypatch, hub):
+    """Pairs around the least likeness, groups and chains; SimHash within three bits finds few of them."""
+    monkeypatch.setattr(nearsets, "HUB", hub)
+    rng = random.Random(8)
+    rows = [*EDGE]
+    for k in range(40):
+        base = words(200, k, 5000).split()
+        rows.append((100 + 10 * k, " ".join(base)))
+        for n in range(1, 6):
+            own = list(base) if k % 2 else own if n > 1 else list(base)
+            for at in rng.sample(range(200), rng.randrange(1, 8)):
+                own[at] = f"new{rng.random()}"
+            rows.append((100 + 10 * k + n, " ".join(own)))
+    rows += [(7001, words(90, 900)), (7002, words(90, 900)), (7002, words(90, 901)), (7003, words(90, 901)), (None, words(90, 900))]
+    found = nearsets.keep_one(clash(spark, rows))
+    assert set(found.columns) == set(clash(spark, rows).columns)
+    want = brute_kept(rows)
+    assert sorted(map(tuple, found.select("doc_id", "text").collect()), key=repr) == sorted(want, key=repr)
+    assert 40 < len(want) < len(rows) - 60
+    assert nearsets.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # ---- lines
 
 

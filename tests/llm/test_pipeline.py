@@ -55,6 +55,18 @@ def test_stages(spark, tables):
     assert set(left["packing"]) == set(left["simhash"])
 
 
+def test_near_duplicates_of_five_words(spark, tmp_path):
+    """Every sixtieth word changed leaves a likeness of 0.8 or more, which a few SimHash bits don't reach."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 60, 2):
+        own = [f"{rng.choice(TONGUES['aa'])}{rng.randrange(900)}" for _ in range(400)]
+        rows.append((i, " ".join(own), "aa", "s", None))
+        rows.append((i + 1, " ".join("other" if k % 60 == 30 else w for k, w in enumerate(own)), "aa", "s", None))
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in left) == list(range(0, 60, 2))
+
+
 def test_run_equals_stages(spark, tables):
     folder, *_ = tables
     found = corpus_pipeline.run(spark, str(folder))
