@@ -91,6 +91,11 @@ def fold(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus
 
 
+def text_key(text: Column) -> Column:
+    """Hash that tells texts from each other; a null text has that of an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a scan, dealt out anew where it has fewer tasks than there are cores; large tables stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.components import connected_components
-from inkgraph.llm.shared import materialize
+from inkgraph.llm.shared import materialize, text_key
 
 BITS = 64
 BLOCK = 16
@@ -47,16 +47,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; fp: the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row; fp: the 64 bits as a signed long. keyed: with key, which tells texts from each other."""
+    more = [text_key(F.col(text_col)).alias("key")] if keyed else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, shingle) for t in batch["_t"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["_i"].astype("Int64"), "fp": fps.view(np.int64)})
+            own = {"key": batch["key"]} if keyed else {}
+            yield pd.DataFrame({"doc_id": batch["_i"].astype("Int64"), "fp": fps.view(np.int64), **own})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t"), *more)
+    return rows.mapInPandas(run, "doc_id long, fp long" + ", key long" * keyed)
 
 
 def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,26 +202,28 @@ def trie_links(reps: DataFrame, budget: int = 3, part: int = PART) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, keyed: bool = False
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``: its SimHash and the smallest doc_id reachable by links.
+    keyed: with key, as :func:`fingerprints`.
 
     Null and wordless texts have fingerprint zero and link like any other. Repeated rows and ids keep a row each. A
     null doc_id is never a component's name while another member has an id. No rows give no rows; other columns,
     whatever their names, are not looked at.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, keyed), "simhash")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(trie_links(reps, budget))
     named = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     names = materialize(named.join(names, "component").select("fp", "component_id"), "simhash-components")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(names, "fp").select("doc_id", "fp", "component_id", *["key"] * keyed)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of each near-duplicate group; rows that repeat that id
-    all stay, being one document, as do rows without an id, which no name tells from each other."""
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` without all but the smallest id of each near-duplicate group; rows that repeat that id in
+    that group all stay, being one document, as do rows without an id, which no name tells from each other. An id with
+    texts in several groups is decided in each."""
+    found = near_duplicates(docs, id_col, text_col, shingle, budget, keyed=True).where("doc_id <> component_id")
+    gone = materialize(found.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct(), "simhash-gone")
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (text_key(docs[text_col]) == gone["_key"]), "left_anti")

@@ -107,6 +107,13 @@ def test_simhash_edges(spark):
     assert 2 not in {r["doc_id"] for r in kept.collect()} and set(kept.columns) == set(clash(spark, rows).columns)
 
 
+def test_simhash_keeps_a_row_of_each_group_of_repeated_ids(spark):
+    a, b = words(300, 1), words(300, 2)
+    rows = [(3, a), (5, a), (5, b), (9, b)]
+    kept = simhash.keep_one(clash(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == [(3, a), (5, b)]
+
+
 # ---- near-duplicates by shingle sets
 
 
