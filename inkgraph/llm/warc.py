@@ -24,7 +24,7 @@ MAGIC = b"WARC/1.1\r\n"
 #: Bytes of an archive that one task reads, and pages' payloads below which no revisit is written.
 SPLIT = 8 << 20
 MIN_REVISIT = 100
-#: Bytes read past a range at a time, while a header is not complete.
+#: Least bytes read past a range at a time, while a header is not complete.
 AHEAD = 64 << 10
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -105,17 +105,18 @@ class _Range:
         return self.data
 
     def header(self, at: int) -> tuple[bytes, int] | None:
-        """Header of the record at offset ``at`` and the offset of its block."""
+        """Header of the record at offset ``at`` and the offset of its block. Every record ends with what ends a header,
+        so one sought inside a payload is read no further than to the end of that record."""
         local, scan = at - self.start, at - self.start
         while True:
             found = self.data.find(b"\r\n\r\n", scan)
             if found >= 0:
                 return self.data[local : found + 2], self.start + found + 4
             known = len(self.data)
-            if self.start + known >= self.size or known - local > 1 << 20:
+            if self.start + known >= self.size:
                 return None
             scan = max(local, known - 3)
-            self.upto(self.start + known + AHEAD)
+            self.upto(self.start + known + max(AHEAD, known - local))
 
     def successor(self, at: int) -> int | None:
         """Offset after the record at ``at``, None if there is no record."""

@@ -439,6 +439,13 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(frame.limit(0))).count() == 0
 
 
+def test_warc_reads_long_headers_across_ranges(spark):
+    rows = [(i, f"http://a/{i}/" + "é" * 250_000, "some page " * 20 + str(i)) for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.read(warc.write(frame.coalesce(1)), 70_000).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in found) == [(i, 201) for i in range(3)]
+
+
 # ---- neighbours
 
 
