@@ -18,8 +18,6 @@ from inkgraph.llm.zstd import compressor
 UNKNOWN = "und"
 #: Labelled rows of each language that its dictionary is fitted on, and the bytes it takes from each.
 ROWS_PER_LANGUAGE, BYTES_PER_ROW = 256, 512
-#: Languages learned, the most frequent first.
-LANGUAGES = 128
 LEVEL, CHUNK = 6, 1024
 #: A text is rejected if its two smallest encodings differ by less than this share.
 MIN_MARGIN = 0.003
@@ -71,12 +69,10 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionary of each language from a bounded sample of ``labelled``: ROWS_PER_LANGUAGE rows of the smallest
+    """Dictionary of every language from a bounded sample of ``labelled``: ROWS_PER_LANGUAGE rows of the smallest
     id hash, a passage of BYTES_PER_ROW from each; null texts have none. Null labels are left out. Rows are chosen
     without their texts, so that the column is read once."""
     rows = labelled.where(F.col(lang_col).isNotNull())
-    if len(often := [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES + 1).collect()]) > LANGUAGES:
-        rows = rows.where(F.col(lang_col).isin(often[:LANGUAGES]))
     ids = hashed_sample(rows, lang_col, id_col, ROWS_PER_LANGUAGE)
     chosen = rows.join(F.broadcast(ids.select(F.col(id_col), F.col(lang_col))), [id_col, lang_col], "left_semi")
 

@@ -103,7 +103,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, class_col: str, id_col: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` ids of each class (few classes), those of the smallest hash.
+    """At most ``per_class`` ids of each class, those of the smallest hash.
 
     Hashes are uniform, so a limit on them that lets half as many again through, by each class's count, leaves the
     ordering of ids a bounded number of rows whatever the table's size. They are ordered within SLICES ranges of
@@ -111,16 +111,15 @@ def hashed_sample(df: DataFrame, class_col: str, id_col: str, per_class: int) ->
     rows = df.select(F.col(class_col).alias("_class"), F.col(id_col).alias("_id")).where("_class IS NOT NULL AND _id IS NOT NULL")
     rows = rows.withColumn("_hash", F.xxhash64("_id"))
     counts = {r[0]: r[1] for r in rows.groupBy("_class").count().collect()}
-    limit = F.lit(1.0)
-    for value, n in counts.items():
-        limit = F.when(F.col("_class") == F.lit(value), F.lit(min(1.0, (1.5 * per_class + 100) / n))).otherwise(limit)
-    at = F.col("_hash") / 2.0**64 + 0.5
-    few = rows.where(at <= limit).withColumn("_slice", F.floor(at / limit * SLICES))
+    kind = rows.schema["_class"].dataType
+    schema = T.StructType([T.StructField("_class", kind), T.StructField("_limit", T.DoubleType())])
+    limits = F.broadcast(df.sparkSession.createDataFrame([(value, min(1.0, (1.5 * per_class + 100) / n)) for value, n in counts.items()], schema))
+    at, limit = F.col("_hash") / 2.0**64 + 0.5, F.col("_limit")
+    few = rows.join(limits, "_class").where(at <= limit).withColumn("_slice", F.floor(at / limit * SLICES))
     before, seen = [], {}
     for value, number, n in sorted(map(tuple, few.groupBy("_class", "_slice").count().collect())):
         before.append((value, number, seen.get(value, 0)))
         seen[value] = seen.get(value, 0) + n
-    kind = rows.schema["_class"].dataType
     schema = T.StructType([T.StructField("_class", kind), T.StructField("_slice", T.LongType()), T.StructField("_before", T.LongType())])
     wanted = F.broadcast(df.sparkSession.createDataFrame([b for b in before if b[2] < per_class], schema))
     order = Window.partitionBy("_class", "_slice").orderBy("_hash", "_id")

@@ -231,6 +231,16 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame([], DOCS), labelled).count() == 0
 
 
+def test_language_learns_every_label(spark):
+    rows = [(3 * k + i, words(60, k, 40).replace("w", "".join(chr(97 + k // 12**j % 12) for j in range(3))), f"l{k:03}") for k in range(150) for i in range(2 if k < 149 else 1)]
+    rows = [(i, "".join(chr(ord(c) - 48 + 110) if c.isdigit() else c for c in t), x) for i, t, x in rows]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.fit(labelled)
+    assert sorted(found) == sorted({x for _, _, x in rows}) and len(found) == 150
+    last = spark.createDataFrame(rows[-1:], "doc_id long, text string, lang string")
+    assert langid.identify(last, labelled).first()["lang_pred"] == "l149"
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
