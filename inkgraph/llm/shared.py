@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import itertools
-import os
+import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,35 +15,48 @@ from pyspark.sql import types as T
 
 #: Ranges of hashes in which a sample is ordered.
 SLICES = 64
+#: Bytes of an Arrow batch of texts, in place of Spark's default.
+BATCH_BYTES = 4 << 20
+#: Rows of one key from which a join broadcasts what the key meets; a table has at most its rows by this of such keys.
+HOT = 100_000
 
 _roots: dict[str, tuple[SparkSession, str]] = {}
 _serial = itertools.count()
+_open: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """URI of this application's folder below ``spark.checkpoint.dir``.
+    """URI of this application's folder below ``spark.checkpoint.dir``, resolved as Spark resolves paths.
 
     Where that setting is absent: a temporary folder under a local master, else a folder beside the warehouse's
-    tables, which a cluster shares too.
+    tables, if those aren't on one machine's disk.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-                base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-            else:
-                base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        if base.startswith("/"):
-            base = "file://" + base
-        elif base.startswith("file:/") and not base.startswith("file://"):
-            base = "file://" + base[len("file:") :]
+        if base:
+            base = _qualified(spark, base)
+        elif spark.sparkContext.master.startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        else:
+            base = _qualified(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+            if base.startswith("file:"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         _roots[app] = (spark, f"{base.rstrip('/')}/work-{uuid.uuid4().hex}")
     return _roots[app][1]
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The URI of ``path``: one without a scheme is of the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{next(_serial):05d}-{name}"
+    path = f"{scratch_root(spark)}/{next(_serial):05d}-{name}"
+    _open.append(path)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -77,6 +91,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for ``df``, once nothing reads it any more."""
     delete_path(df.sparkSession, df._scratch_path)
+    _open.remove(df._scratch_path)
+
+
+@contextmanager
+def only(spark: SparkSession):
+    """Deletes what is written to the shared folder meanwhile, but for the tables given to what it yields."""
+    before, kept = set(_open), set()
+    yield lambda df: kept.add(df._scratch_path)
+    for path in [p for p in _open if p not in before and p not in kept]:
+        delete_path(spark, path)
+        _open.remove(path)
 
 
 def open_filesystem(uri: str):
@@ -127,6 +152,51 @@ def hashed_sample(df: DataFrame, class_col: str, id_col: str, per_class: int) ->
     return ranked.where(F.col("_rank") <= per_class).select(F.col("_class").alias(class_col), F.col("_id").alias(id_col))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from now on, unless the session has its own limit: what Python workers
+    hold follows the batch, and a batch of long texts is large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == f"{64 << 20}b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy() -> None:
+    """Give a worker's free memory back to its machine; a task calls this when it ends, as workers are used again."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_struct(df: DataFrame, value: Column, names: list[str]) -> DataFrame:
+    """``df`` with the fields ``names`` of the struct ``value`` as columns, which is evaluated once. Own columns of
+    these names are replaced, all others stay."""
+    own = fresh(df, "_struct")
+    return df.withColumn(own, value).withColumns({n: F.col(f"{own}.{n}") for n in names}).drop(own)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", count: str = "n") -> DataFrame:
+    """Inner or left join of ``rows`` with ``table``, which has a row for each key at most and, in ``count``, how many
+    rows the key has. Keys of HOT rows or more, of which there are few, are broadcast, so that no task gathers their
+    rows."""
+    hot = F.broadcast(table.where(F.col(count) >= HOT).drop(count))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(F.col(count) < HOT).drop(count), key, how))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where ``body`` names it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
