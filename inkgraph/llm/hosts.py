@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.shared import materialize
+from inkgraph.llm.shared import join_hot, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the production rules.
@@ -18,21 +18,44 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Suffixes of two labels under which names are registered, as in the public list of suffixes, for the
+#: countries that register most; a caller gives the full list in their place.
+SUFFIXES = """
+ac.id ac.il ac.in ac.jp ac.kr ac.nz ac.th ac.uk ac.za ad.jp asn.au co.at co.id co.il co.in co.jp co.ke co.kr co.nz co.th
+co.uk co.za com.ar com.au com.bd com.br com.cn com.co com.ec com.eg com.gr com.hk com.mx com.my com.ng com.pe com.ph
+com.pk com.pl com.pt com.py com.sa com.sg com.tr com.tw com.ua com.uy com.ve com.vn ed.jp edu.ar edu.au edu.br edu.cn
+edu.co edu.hk edu.mx edu.my edu.pe edu.ph edu.pk edu.pl edu.sg edu.tr edu.tw edu.vn firm.in gen.in go.id go.jp go.kr
+go.th gob.ar gob.mx gob.pe gov.ar gov.au gov.br gov.cn gov.hk gov.il gov.in gov.my gov.ph gov.pk gov.pl gov.sg gov.tr
+gov.tw gov.ua gov.uk gov.vn gov.za govt.nz gr.jp gv.at id.au ind.br ind.in lg.jp ltd.uk me.uk ne.jp net.ar net.au net.br
+net.cn net.hk net.in net.mx net.nz net.pl net.tr net.tw net.ua net.uk nhs.uk or.at or.id or.jp or.kr or.th org.ar org.au
+org.br org.cn org.hk org.il org.in org.mx org.my org.nz org.pe org.ph org.pk org.pl org.sg org.tr org.tw org.ua org.uk
+org.vn org.za plc.uk police.uk res.in sch.uk web.id
+""".split()
 #: Standard deviations of the posterior between its mean and the bound, and the bound from which a page is blocked.
 Z, BLOCK_FROM = 1.645, 0.5
 #: Limits of a level's intraclass correlation.
 RHO = (0.001, 0.999)
 
 
-def split_url(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """``pages`` with host, path, domain (the host's last two labels) and suffix (its last label)."""
+def split_url(pages: DataFrame, url_col: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """``pages`` with host, path, domain and suffix. Suffix: the longest of ``suffixes`` that the host's name, without
+    user and port, ends with or is, else its last label. Domain: the suffix and the label before it, if there is one;
+    an address in numbers is its own suffix and domain."""
     url = F.col(url_col)
     at = F.instr(url, "://")
     rest = F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substr(rest, F.length(host) + 1), r"^[^?#]*", 0)
     out = pages.withColumns({"path": path, "host": F.translate(host, UPPER, LOWER)})
-    return out.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":[0-9]*$", "")
+    number = name.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+    labels = F.when(number, 1)
+    for n in sorted({s.count(".") + 1 for s in suffixes} - {1}, reverse=True):
+        labels = labels.when(F.substring_index(name, ".", -n).isin([s for s in suffixes if s.count(".") + 1 == n]), n)
+    labels = labels.otherwise(1)
+    parts = F.split(name, r"\.")
+    tail = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
+    return out.withColumns({"domain": F.when(number, name).otherwise(tail(labels + 1)), "suffix": F.when(number, name).otherwise(tail(labels))})
 
 
 def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -58,14 +81,14 @@ def _shrunk(level: DataFrame, raw: str) -> DataFrame:
 
 
 def reputations(pages: DataFrame, outcome_col: str = "bad") -> DataFrame:
-    """(host, n, k, mean, bound) of each host of ``pages`` (host, domain, suffix, outcome 0, 1 or null).
+    """(host, n, k, mean, bound, pages) of each host of ``pages`` (host, domain, suffix, outcome 0, 1 or null).
 
     Counts are shrunk from host to registered domain to suffix to all pages, each level's prior being beta with the
     mean of the level above and a strength fitted to the level's spread. bound: the posterior's lower end for the
     share of bad pages. Counts combine before each shuffle; a host that holds most pages costs no task more.
     """
     bad = F.col(outcome_col)
-    hosts = pages.groupBy("suffix", "domain", "host").agg(F.count(bad).alias("n"), F.coalesce(F.sum(bad), F.lit(0)).alias("k"))
+    hosts = pages.groupBy("suffix", "domain", "host").agg(F.count(bad).alias("n"), F.coalesce(F.sum(bad), F.lit(0)).alias("k"), F.count("*").alias("pages"))
     hosts = materialize(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -83,10 +106,13 @@ def reputations(pages: DataFrame, outcome_col: str = "bad") -> DataFrame:
     h = hosts.join(d, "domain").crossJoin(F.broadcast(host_m))
     mean, size = shrink("d_mean"), F.col("n") + F.col("strength")
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (size + 1))
-    return h.select("host", "n", "k", mean.alias("mean"), bound.alias("bound"))
+    return h.select("host", "n", "k", mean.alias("mean"), bound.alias("bound"), "pages")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", outcome_col: str | None = None) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
+    outcome_col: str | None = None, suffixes: Sequence[str] = SUFFIXES,
+) -> DataFrame:
     """(page_id, host, path, rule, verdict, bound) of every row of ``pages``.
 
     A page that a rule fits has the rule's verdict. Others are blocked where the posterior bound of their host's
@@ -96,9 +122,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     """
     own = [F.col(id_col).alias("page_id"), F.col(url_col).alias("url")]
     own += [F.col(outcome_col).cast("int").alias("bad")] if outcome_col else []
-    rows = with_rules(split_url(pages.select(*own)), rules).drop("url")
+    rows = with_rules(split_url(pages.select(*own), suffixes=suffixes), rules).drop("url")
     if not outcome_col:
         rows = rows.withColumn("bad", F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0))
-    known = materialize(reputations(rows).select("host", "bound"), "reputations")
+    known = materialize(reputations(rows).select("host", "bound", "pages"), "reputations")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bound") >= BLOCK_FROM, "block").otherwise("allow"))
-    return rows.join(known, "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound")
+    return join_hot(rows, known, "host", count="pages").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,22 +18,65 @@ OVERHEAD = 32
 SHARD = 50_000
 
 
-def _pack(lengths: Sequence[int], capacities: Sequence[int], opening: int) -> tuple[list[int], list[int], list[int]]:
-    """Best fit of ``lengths`` (falling) into bins opened at ``opening`` or, for longer pieces, the next capacity:
-    (bin, offset) of each piece, fill of each bin. Bins of each remainder wait in a stack; ``open_`` has a bit for
-    each remainder that some bin has, so the least sufficient one is its lowest bit from the length up."""
-    stacks: dict[int, list[int]] = {}
+class _Remaining:
+    """The lengths that are still to come. ``mask`` has a bit for each, so the greatest that fits is its highest bit up
+    to there."""
+
+    def __init__(self, lengths: Sequence[int]):
+        self.counts = Counter(lengths)
+        self.mask = sum(1 << n for n in self.counts)
+
+    def take(self, length: int) -> None:
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            self.mask ^= 1 << length
+
+    def fill(self, room: int) -> int:
+        """What is filled of ``room`` if each time the greatest length that fits is added."""
+        left, mask = room, self.mask
+        while n := (mask & ((2 << left) - 1)).bit_length() - 1:
+            if n < 0:
+                break
+            left -= n * min(left // n, self.counts[n])
+            mask &= (1 << n) - 1
+        return room - left
+
+
+def cheapest(length: int, remaining: _Remaining, capacities: Sequence[int], overhead: int) -> int:
+    """The capacity for a bin that is opened for ``length``: that of the least cost a token, if the bin is filled from
+    what remains and then shrinks to its contents; the least at ties."""
+    best, chosen = None, None
+    for capacity in capacities:
+        if capacity < length:
+            continue
+        filled = length + remaining.fill(capacity - length)
+        cost = next(c for c in capacities if c >= filled) + overhead
+        # cost / filled < best cost / best filled, in whole numbers
+        if best is None or cost * best[1] < best[0] * filled:
+            best, chosen = (cost, filled), capacity
+    return chosen
+
+
+def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+    """(bin, offset) of each length (falling, each at most the largest capacity), capacity of each bin.
+
+    A piece goes to the open bin with the least room that holds it, the latest of equal ones; where none does, a bin is
+    opened at the capacity that :func:`cheapest` tells, whatever those before had. In the end every bin shrinks to the
+    least capacity that holds its contents. Bins of each room wait in a stack; ``open_`` has a bit for each room that
+    some bin has."""
+    remaining, stacks = _Remaining(lengths), {}
     open_, room, bins, offsets, sizes = 0, [], [], [], []
     for length in lengths:
+        remaining.take(length)
         fits = open_ >> length
         if fits:
             left = length + (fits & -fits).bit_length() - 1
             stack = stacks[left]
             chosen = stack.pop()
             if not stack:
-                open_ &= ~(1 << left)
+                open_ ^= 1 << left
         else:
-            left = next(c for c in capacities if c >= length and c >= opening)
+            left = cheapest(length, remaining, capacities, overhead)
             chosen = len(room)
             room.append(left)
             sizes.append(left)
@@ -43,22 +87,7 @@ def _pack(lengths: Sequence[int], capacities: Sequence[int], opening: int) -> tu
         if left:
             stacks.setdefault(left, []).append(chosen)
             open_ |= 1 << left
-    return bins, offsets, [s - r for s, r in zip(sizes, room, strict=True)]
-
-
-def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """(bin, offset) of each length (falling, each at most the largest capacity), capacity of each bin.
-
-    Bins open at one permitted length, and in the end shrink to the least that holds their contents. Every permitted
-    length is tried for the opening; the least sum over bins of capacity and overhead wins, the shorter at ties."""
-    best = None
-    for opening in capacities:
-        bins, offsets, fill = _pack(lengths, capacities, opening)
-        final = [next(c for c in capacities if c >= f) for f in fill]
-        cost = sum(final) + overhead * len(final)
-        if best is None or cost < best[0]:
-            best = cost, bins, offsets, final
-    return best[1:]
+    return bins, offsets, [next(c for c in capacities if c >= s - r) for s, r in zip(sizes, room, strict=True)]
 
 
 def pack(
@@ -67,8 +96,8 @@ def pack(
 ) -> DataFrame:
     """(doc_id, piece, start, n_tokens, bin_id, bin_offset, capacity): every row's tokens, each once, in bins.
 
-    A row longer than the largest capacity is cut into pieces of that length and a rest. Pieces are dealt by hash
-    into shards of about ``shard`` and packed there, largest first, so a task's memory doesn't grow with the input,
+    A row longer than the largest capacity is cut into pieces of that length and a rest. Pieces are dealt by hash of
+    id, piece and place, so that repeated rows spread too, into shards of about ``shard`` and packed there, largest first, so a task's memory doesn't grow with the input,
     and at most a few bins a shard are left unfull. Rows of null or no length have one piece of length 0, in no bin
     (null bin_id). Repeated rows are packed each; ties go by id. No rows give none.
     """
@@ -94,12 +123,6 @@ def pack(
         group["capacity"] = pd.array([final[b] for b in bins] + [None] * none, dtype="Int32")
         return group.drop(columns="shard")
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     schema = "doc_id long, piece int, start long, n_tokens int, bin_id long, bin_offset int, capacity int"
     return dealt.groupBy("shard").applyInPandas(run, schema)
-
-
-def word_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens: words of the whole text plus an end token; a null text has the end token alone."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.withColumn("n_tokens", words + 1)

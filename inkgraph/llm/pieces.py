@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkgraph.llm.shared import bound_batches, tidy, with_struct
+
 MARK = "▁"
 #: Distinct chunks that a task remembers.
 REMEMBERED = 300_000
 _CHUNK = re.compile(r" +[^ ]*")
+#: All that usual normalisations change: characters with another compatibility or lower-case form, blanks at both ends.
+_CHANGEABLE = " a  \t\r\n" + "".join(c for c in map(chr, range(0xA0, 0xD800)) if unicodedata.normalize("NFKC", c) != c or c.lower() != c) + "e\u0301 A "
 
 
 class Codec:
@@ -35,7 +40,7 @@ class Codec:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("pieces of this model cross white space markers")
         self.mark, self.end = self.model.piece_to_id(MARK), self.model.eos_id()
-        if self.model.encode("a  ① ", out_type=str)[:2] != [MARK + "a", MARK * 2] or self.model.decode(self.model.encode("a  ① ")) != "a  ① ":
+        if self.model.encode("a  ① ", out_type=str)[:2] != [MARK + "a", MARK * 2] or self.model.decode(self.model.encode(_CHANGEABLE)) != _CHANGEABLE:
             raise ValueError("this model normalises text")
         self.table: dict[str, tuple[list[int], str]] = {}
 
@@ -112,6 +117,24 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 joined = " ".join([*(said for _, said in row), end])
                 out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.table.clear()
+        tidy()
+
+    bound_batches(docs.sparkSession)
+    return with_struct(docs, run(F.col(text_col)), ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def with_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_tokens: the ids of each whole text with the end id, which is all that null and empty texts have.
+    An own n_tokens is replaced; repeated rows stay, and an empty table gives none."""
+
+    @F.pandas_udf(T.LongType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = Codec(path)
+        for texts in batches:
+            yield pd.Series([1 + sum(len(ids) for ids, _ in row) for row in codec.rows(list(texts))], dtype="int64")
+        codec.table.clear()
+        tidy()
 
-    out = docs.withColumn("_rt", run(F.col(text_col)))
-    return out.withColumns({n: F.col(f"_rt.{n}") for n in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_rt")
+    bound_batches(docs.sparkSession)
+    return docs.withColumn("n_tokens", run(F.col(text_col)))

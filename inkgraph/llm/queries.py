@@ -39,7 +39,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(pieces.with_lengths(docs, public_tokenizers.path(TOKENIZER)))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +111,16 @@ WITH u AS (
   FROM p
 ), b AS (
   SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 0 WHEN rule IS NOT NULL THEN 1 END AS bad,
-    string_split(host, '.')[-1] AS suffix,
-    CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain
+    regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name
   FROM r
+), c AS (
+  SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^([0-9]+(\\.[0-9]+){{3}}|\\[.*\\])$') AS number,
+    CASE WHEN array_to_string(string_split(name, '.')[-2:], '.') IN ({", ".join(f"'{s}'" for s in hosts.SUFFIXES)}) THEN 2 ELSE 1 END AS labels FROM b
+), d AS (
+  SELECT * EXCLUDE (name, parts, number, labels), CASE WHEN number THEN name ELSE array_to_string(parts[-labels:], '.') END AS suffix,
+    CASE WHEN number THEN name ELSE array_to_string(parts[-(labels + 1):], '.') END AS domain FROM c
 ), hosts AS (
-  SELECT suffix, domain, host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM b GROUP BY suffix, domain, host
+  SELECT suffix, domain, host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM d GROUP BY suffix, domain, host
 ), domains AS (
   SELECT suffix, domain, sum(n) AS n, sum(k) AS k, (sum(k) + 0.5) / (sum(n) + 1) AS raw FROM hosts GROUP BY suffix, domain
 ), suffixes AS (
