@@ -7,14 +7,16 @@ containers, then through what it may start; what is left joins a paragraph, lazi
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 LINE = re.compile(r"[^\r\n]*(\r\n|\r|\n|$)")
 FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$", re.S)
 CLOSING = re.compile(r"(`{3,}|~{3,})[ \t]*$")
 ATX = re.compile(r"(#{1,6})(?=[ \t]|$)")
 SETEXT = re.compile(r"(=+|-+)[ \t]*$")
-BREAK = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 BULLET = re.compile(r"([-*+])(?=[ \t]|$)")
 ORDERED = re.compile(r"([0-9]{1,9})([.)])(?=[ \t]|$)")
 FRONT = re.compile(r"---[ \t]*(?:\r\n|\r|\n|$)")
@@ -36,6 +38,29 @@ class Block:
     attrs: dict = field(default_factory=dict)
     column: int = 0
 
+    def below(self) -> Iterator[Block]:
+        """The block and all that it holds, in document order."""
+        todo = [self]
+        while todo:
+            block = todo.pop()
+            yield block
+            todo += reversed(block.children)
+
+
+class Joined:
+    """The text of fragments joined by newlines, and where its characters are in the source."""
+
+    def __init__(self, text: str, fragments: list[tuple[int, int]]):
+        self.fragments, self.text = fragments, join(text, fragments)
+        self.starts = [0, *accumulate(b - a + 1 for a, b in fragments)]
+
+    def line(self, at: int) -> int:
+        return min(bisect_right(self.starts, at) - 1, len(self.fragments) - 1)
+
+    def source(self, at: int) -> int:
+        k = self.line(at)
+        return min(self.fragments[k][0] + at - self.starts[k], self.fragments[k][1])
+
 
 @dataclass
 class Definition:
@@ -66,13 +91,20 @@ class _Cursor:
 
     def __init__(self, text: str, at: int, end: int):
         self.text, self.at, self.end, self.column = text, at, end, 0
+        # where the white space that was measured last ends
+        self.stop, self.stop_column = -1, 0
+
+    def _measure(self) -> None:
+        if self.at > self.stop:
+            column, at = self.column, self.at
+            while at < self.end and self.text[at] in " \t":
+                column += 4 - column % 4 if self.text[at] == "\t" else 1
+                at += 1
+            self.stop, self.stop_column = at, column
 
     def indent(self) -> int:
-        column, at = self.column, self.at
-        while at < self.end and self.text[at] in " \t":
-            column += 4 - column % 4 if self.text[at] == "\t" else 1
-            at += 1
-        return column - self.column
+        self._measure()
+        return self.stop_column - self.column
 
     def skip(self, columns: int) -> None:
         """White space of at most so many columns."""
@@ -88,11 +120,13 @@ class _Cursor:
         self.at += n
         self.column += n
 
-    def rest(self) -> str:
-        return self.text[self.at : self.end]
+    def solid(self) -> int:
+        """Offset of what follows the white space here."""
+        self._measure()
+        return self.stop
 
     def blank(self) -> bool:
-        return not self.rest().strip(" \t")
+        return self.solid() == self.end
 
 
 class BlockParser:
@@ -117,28 +151,27 @@ class BlockParser:
         self.open.append(block)
 
     def _close(self, depth: int) -> None:
-        """Close what is open from ``depth`` on."""
+        """Close what is open from ``depth`` on; a container reaches as far as what it holds."""
         while len(self.open) > depth:
             block = self.open.pop()
+            if self.open[-1] is not self.root:
+                self.open[-1].end = max(self.open[-1].end, block.end)
             if block.kind == "code" and block.attrs.get("fence") and not block.attrs.get("closed"):
                 self.diagnostics.append(("UnclosedCodeFence", block.start, block.end))
             if block.kind == "code" and not block.attrs.get("fence"):
                 block.fragments = block.fragments[: block.attrs["filled"]]
 
-    def _extend(self, depth: int, end: int) -> None:
-        for block in self.open[1:depth]:
-            if block.kind in ("quote", "list", "item"):
-                block.end = max(block.end, end)
-
     def _line(self, start: int, end: int) -> None:
-        cur = _Cursor(self.text, start, end)
+        cur, text = _Cursor(self.text, start, end), self.text
+        #: Of each character of thematic breaks: where a run of it ends that isn't one.
+        broken: dict[str, int] = {}
         matched = 1
         for block in self.open[1:]:
             if block.kind == "quote":
-                if not (cur.indent() <= 3 and cur.rest().lstrip(" \t").startswith(">")):
+                if not (cur.indent() <= 3 and text.startswith(">", cur.solid(), end)):
                     break
                 self._quote_marker(cur)
-                self._extend(matched + 1, end)
+                block.end = max(block.end, end)
             elif block.kind == "item":
                 if cur.blank():
                     if not block.children:
@@ -161,7 +194,6 @@ class BlockParser:
         blank = cur.blank()
         if holds and leaf.kind == "code":
             if self._code_line(leaf, cur, end):
-                self._extend(matched, leaf.end)
                 return
             leaf, holds = None, False
             self._close(matched)
@@ -187,43 +219,37 @@ class BlockParser:
                 self._start(matched, fresh)
                 cur.skip(4)
                 self._add(Block("code", cur.at, end, fragments=[(cur.at, end)], attrs={"filled": 1}))
-                self._extend(len(self.open), end)
                 return
-            body = self.text[cur.at : end].lstrip(" \t")
-            at = end - len(body)
-            if body.startswith(">"):
+            at = cur.solid()
+            if text.startswith(">", at, end):
                 self._start(matched, fresh)
                 self._quote_marker(cur)
                 self._add(Block("quote", at, end))
-                self._extend(len(self.open), end)
                 matched, fresh, in_list = len(self.open), True, False
                 if cur.blank():
                     return
                 continue
-            if found := ATX.match(body):
+            if found := ATX.match(text, at, end):
                 self._start(matched, fresh)
-                self._atx(found, body, at, end)
+                self._atx(found, at, end)
                 return
-            if (found := FENCE.match(body)):
+            if found := FENCE.match(text, at, end):
                 run = found[1] or found[3]
                 self._start(matched, fresh)
                 info = (found[2] if found[1] else found[4]).strip()
                 self._add(Block("code", at, end, attrs={"fence": run, "indent": indent, "info": info}))
-                self._extend(len(self.open), end)
                 return
-            if paragraph is not None and (found := SETEXT.match(body)):
+            if paragraph is not None and SETEXT.match(text, at, end):
                 paragraph.kind, paragraph.end = "heading", end
-                paragraph.attrs |= {"level": 1 if body[0] == "=" else 2, "style": "setext", "underline": at}
-                self._extend(len(self.open), end)
+                paragraph.attrs |= {"level": 1 if text[at] == "=" else 2, "style": "setext", "underline": at}
                 self._close(len(self.open) - 1)
                 return
-            if BREAK.match(body):
+            if self._breaks(at, end, broken):
                 self._start(matched, fresh)
                 self._add(Block("break", at, end))
-                self._extend(len(self.open), end)
                 self._close(len(self.open) - 1)
                 return
-            item = self._list_marker(body, lazy, in_list, matched)
+            item = self._list_marker(at, end, lazy, in_list, matched)
             if item is None:
                 break
             family, number, width = item
@@ -250,21 +276,18 @@ class BlockParser:
                 self._start(matched, fresh)
                 lst = Block("list", at, end, attrs={"family": family, "tight": True, "number": number})
                 self._add(lst)
-            lst.children.append(made := Block("item", at, at + width, column=column))
+            lst.children.append(made := Block("item", at, end, column=column))
             self.open.append(made)
-            self._extend(len(self.open), end if not empty else at + width)
             matched, fresh, in_list = len(self.open), True, False
             if empty:
                 return
         if lazy and leaf is not None:
-            leaf.fragments.append((end - len(self.text[cur.at : end].lstrip(" \t")), end))
+            leaf.fragments.append((cur.solid(), end))
             leaf.end = end
-            self._extend(len(self.open), end)
             return
         self._start(matched, fresh)
-        at = end - len(self.text[cur.at : end].lstrip(" \t"))
+        at = cur.solid()
         self._add(Block("paragraph", at, end, fragments=[(at, end)]))
-        self._extend(len(self.open), end)
 
     def _start(self, matched: int, fresh: bool) -> None:
         """Close what the line didn't continue, before it starts a block."""
@@ -278,33 +301,45 @@ class BlockParser:
         if cur.at < cur.end and cur.text[cur.at] in " \t":
             cur.skip(4 if cur.text[cur.at] == "\t" else 1)
 
-    def _list_marker(self, body: str, interrupts: bool, in_list: bool, matched: int) -> tuple[str, int, int] | None:
+    def _breaks(self, at: int, end: int, broken: dict[str, int]) -> bool:
+        """Whether the line from ``at`` on is a thematic break: three or more of one character, white space between."""
+        char = self.text[at]
+        if char not in "*-_" or broken.get(char, -1) > at:
+            return False
+        stop, n = at, 0
+        while stop < end and self.text[stop] in (char, " ", "\t"):
+            n += self.text[stop] == char
+            stop += 1
+        if stop < end:
+            broken[char] = stop
+        return stop == end and n >= 3
+
+    def _list_marker(self, at: int, end: int, interrupts: bool, in_list: bool, matched: int) -> tuple[str, int, int] | None:
         """(family, number, width) of a list marker that may start an item here."""
-        found = BULLET.match(body) or ORDERED.match(body)
+        found = BULLET.match(self.text, at, end) or ORDERED.match(self.text, at, end)
         if not found:
             return None
         ordered = found.re is ORDERED
         family, number = (found[2], int(found[1])) if ordered else (found[1], 0)
         if interrupts and not (in_list and self.open[matched].attrs["family"] == family):
-            if not body[found.end() :].strip(" \t") or (ordered and number != 1):
+            if _Cursor(self.text, found.end(), end).blank() or (ordered and number != 1):
                 return None
-        return family, number, found.end()
+        return family, number, found.end() - at
 
-    def _atx(self, found: re.Match, body: str, at: int, end: int) -> None:
-        content = body[found.end() :]
+    def _atx(self, found: re.Match, at: int, end: int) -> None:
+        content = self.text[found.end() : end]
         lead = len(content) - len(content.lstrip(" \t"))
-        start, content = at + found.end() + lead, content.strip(" \t")
+        start, content = found.end() + lead, content.strip(" \t")
         closed = content.rstrip("#")
         if not closed or (closed != content and closed[-1] in " \t"):
             content = closed.rstrip(" \t")
         self._add(Block("heading", at, end, fragments=[(start, start + len(content))] if content else [], attrs={"level": len(found[1]), "style": "atx"}))
-        self._extend(len(self.open), end)
         self._close(len(self.open) - 1)
 
     def _code_line(self, leaf: Block, cur: _Cursor, end: int) -> bool:
         """True if the line belongs to the open code block."""
         if fence := leaf.attrs.get("fence"):
-            closing = CLOSING.match(cur.rest().lstrip(" \t")) if cur.indent() <= 3 else None
+            closing = CLOSING.match(self.text, cur.solid(), end) if cur.indent() <= 3 else None
             leaf.end = end
             if closing and closing[1][0] == fence[0] and len(closing[1]) >= len(fence):
                 leaf.attrs["closed"] = True
@@ -339,13 +374,11 @@ def split_row(text: str, start: int, end: int) -> list[tuple[int, int]]:
     bars = []
     if start < end and text[start] == "|":
         start += 1
+    slashes = 0
     for at in range(start, end):
-        if text[at] == "|":
-            back = at
-            while back > start and text[back - 1] == "\\":
-                back -= 1
-            if (at - back) % 2 == 0:
-                bars.append(at)
+        if text[at] == "|" and slashes % 2 == 0:
+            bars.append(at)
+        slashes = slashes + 1 if text[at] == "\\" else 0
     if bars and bars[-1] == end - 1:
         end = bars.pop()
     edges = [start - 1, *bars, end]
@@ -355,12 +388,17 @@ def split_row(text: str, start: int, end: int) -> list[tuple[int, int]]:
 DELIMITER = re.compile(r"(:?)-+(:?)")
 
 
-def tables(text: str, blocks: list[Block]) -> list[Block]:
-    """The blocks with paragraphs cut where a header line and a delimiter line of as many cells meet."""
+def tables(text: str, root: Block) -> None:
+    """Cut paragraphs below ``root`` where a header line and a delimiter line of as many cells meet."""
+    for block in root.below():
+        if block.children:
+            block.children = _cut(text, block.children)
+
+
+def _cut(text: str, blocks: list[Block]) -> list[Block]:
     out = []
     for block in blocks:
         if block.kind != "paragraph":
-            block.children = tables(text, block.children)
             out.append(block)
             continue
         lines = block.fragments
@@ -411,9 +449,12 @@ def bare_destination(text: str, at: int) -> int | None:
     return at if at > start and not depth else None
 
 
-def link_definition(text: str) -> tuple[str, str, str | None, int] | None:
-    """(label, destination, title, length) of the definition at the start of the paragraph ``text``."""
-    found = LABEL.match(text)
+END = re.compile(r"[ \t]*(\n|$)")
+
+
+def link_definition(text: str, start: int = 0) -> tuple[str, str, str | None, int] | None:
+    """(label, destination, title, end) of the definition at ``start``, a line's beginning, of the paragraph ``text``."""
+    found = LABEL.match(text, start)
     if not found or not found[1].strip() or found[1].startswith("^") or not text.startswith(":", found.end()):
         return None
     at = GAP.match(text, found.end() + 1).end()
@@ -426,10 +467,9 @@ def link_definition(text: str) -> tuple[str, str, str | None, int] | None:
     gap = GAP.match(text, at).end()
     title = TITLE.match(text, gap) if gap > at else None
     if title:
-        line = re.compile(r"[ \t]*(\n|$)").match(text, title.end())
-        if line:
+        if line := END.match(text, title.end()):
             return found[1], dest, next(g for g in title.groups() if g is not None), line.end()
-    line = re.compile(r"[ \t]*(\n|$)").match(text, at)
+    line = END.match(text, at)
     return (found[1], dest, None, line.end()) if line else None
 
 
@@ -450,12 +490,16 @@ def drop_front(fragments: list[tuple[int, int]], count: int) -> list[tuple[int,
     return out
 
 
-def definitions(text: str, blocks: list[Block], found: list[Definition], notes: set[str]) -> list[Block]:
-    """The blocks without link definitions, which join ``found``; footnotes become blocks, their labels join
-    ``notes``. A heading all of whose text was definitions leaves its underline: a paragraph or a break."""
+def definitions(text: str, root: Block, found: list[Definition], notes: set[str]) -> None:
+    """Take link definitions out of what is below ``root``, which join ``found``; footnotes become blocks, their labels
+    join ``notes``. A heading all of whose text was definitions leaves its underline: a paragraph or a break."""
+    for block in reversed([b for b in root.below() if b.children]):
+        block.children = _defined(text, block.children, found, notes)
+
+
+def _defined(text: str, blocks: list[Block], found: list[Definition], notes: set[str]) -> list[Block]:
     out: list[Block] = []
     for block in blocks:
-        block.children = definitions(text, block.children, found, notes)
         if block.kind == "item" and block.children and block.children[0].kind == "paragraph":
             first = block.children[0]
             if first.fragments and (mark := TASK.match(text[slice(*first.fragments[0])])):
@@ -471,19 +515,14 @@ def definitions(text: str, blocks: list[Block], found: list[Definition], notes:
             inner = Block("paragraph", block.start + note.end(), block.end, fragments=drop_front(block.fragments, note.end()))
             out.append(Block("footnote", block.start, block.end, [inner], attrs={"label": note[1]}))
             continue
-        source, moved = join(text, block.fragments), False
-        while source.startswith("[") and (one := link_definition(source)):
-            label, dest, title, length = one
-            start = block.fragments[0][0]
-            left = drop_front(block.fragments, length)
-            used = len(block.fragments) - len(left)
-            end = block.fragments[used - 1][1] if used else start + length
-            found.append(Definition(label, dest, title, start, end))
-            block.fragments, moved = left, True
-            source = join(text, left)
-            if not left:
-                break
-        if not moved:
+        joined, at = Joined(text, block.fragments), 0
+        while joined.text.startswith("[", at) and (one := link_definition(joined.text, at)):
+            label, dest, title, after = one
+            last = len(block.fragments) if after >= len(joined.text) else joined.line(after)
+            found.append(Definition(label, dest, title, joined.source(at), block.fragments[last - 1][1]))
+            at = after
+        block.fragments = drop_front(block.fragments, at) if at else block.fragments
+        if not at:
             if out and block.kind == "paragraph" and out[-1].attrs.pop("underlined", None) and text[out[-1].end : block.start].count("\n") + text[out[-1].end : block.start].count("\r") - text[out[-1].end : block.start].count("\r\n") == 1:
                 out[-1].end = block.end
                 out[-1].fragments += block.fragments

@@ -59,11 +59,13 @@ def _valid_domain(domain: str) -> bool:
 
 
 def _trimmed(text: str, start: int, end: int) -> int:
+    surplus = text.count(")", start, end) - text.count("(", start, end)
     while end > start:
-        if text[end - 1] in "?!.,:*_~" or (text[end - 1] == ")" and text.count(")", start, end) > text.count("(", start, end)):
-            end -= 1
-        else:
+        if text[end - 1] == ")" and surplus > 0:
+            surplus -= 1
+        elif text[end - 1] not in "?!.,:*_~":
             break
+        end -= 1
     return end
 
 
@@ -85,6 +87,16 @@ class InlineParser:
     def __init__(self, text: str, definitions: dict[str, tuple[str, str | None]], notes: set[str]):
         self.text, self.definitions, self.notes = text, definitions, notes
         self.no_code: set[int] = set()
+        # the end of the line that was last asked for, and up to where no wiki link closes
+        self.line_end, self.no_wiki = -1, -1
+        # openers from the start of the stack that are known not to begin links any more
+        self.inactive = 0
+
+    def _line_end(self, at: int, end: int) -> int:
+        if self.line_end < at:
+            found = self.text.find("\n", at)
+            self.line_end = found if found >= 0 else max(end, at)
+        return self.line_end
 
     def parse(self) -> list[Inline]:
         text, out, runs, brackets = self.text, [], [], []
@@ -94,8 +106,7 @@ class InlineParser:
             before = text[at - 1] if at else "\n"
             char = text[at]
             if (before.isspace() or before in "*_~(") and char.isascii() and (char.isalnum() or char in "._%+-"):
-                line_end = text.find("\n", at)
-                stop = bare_address(text, at, line_end if line_end >= 0 else end)
+                stop = bare_address(text, at, self._line_end(at, end))
                 if stop:
                     uri = text[at:stop]
                     out.append(Inline("autolink", at, stop, uri, attrs={"email": not BARE.match(uri)}))
@@ -118,10 +129,19 @@ class InlineParser:
         return self._finish(out)
 
     def _finish(self, nodes: list[Inline]) -> list[Inline]:
-        """Texts that touch as one, with their characters."""
+        """Texts that touch as one, with their characters, at all depths."""
+        whole = Inline("root", 0, 0, children=nodes)
+        todo = [whole]
+        while todo:
+            node = todo.pop()
+            if node.children:
+                node.children = self._merged(node.children)
+                todo += node.children
+        return whole.children
+
+    def _merged(self, nodes: list[Inline]) -> list[Inline]:
         out: list[Inline] = []
         for node in nodes:
-            node.children = self._finish(node.children)
             if node.kind != "text":
                 out.append(node)
             elif node.start < node.end:
@@ -251,9 +271,12 @@ class InlineParser:
         text = self.text
         if not text.startswith("[[", at):
             return None
-        line_end = text.find("\n", at)
-        close = text.find("]]", at + 2, line_end if line_end >= 0 else end)
+        if at < self.no_wiki:
+            return None
+        line_end = self._line_end(at, end)
+        close = text.find("]]", at + 2, line_end)
         if close < 0:
+            self.no_wiki = line_end
             return None
         target, bar, label = text[at + 2 : close].partition("|")
         if not target:
@@ -296,6 +319,7 @@ class InlineParser:
         if not brackets:
             return None
         opener, index, first_run, image, active = brackets.pop()
+        self.inactive = min(self.inactive, len(brackets))
         if not active:
             return None
         found = self._target(at + 1, end) if self.text.startswith("(", at + 1) else None
@@ -316,9 +340,10 @@ class InlineParser:
         del runs[first_run:]
         out.append(Inline("image" if image else "link", opener.start, after, children=inner, attrs={"dest": dest, "title": title}))
         if not image:
-            for other in brackets:
+            for other in brackets[self.inactive :]:
                 if not other[3]:
                     other[4] = False
+            self.inactive = len(brackets)
         return after
 
     def _emphasis(self, nodes: list[Inline], runs: list[_Run], first: int) -> None:
@@ -389,10 +414,11 @@ class InlineParser:
 
 def flatten(nodes: list[Inline]) -> str:
     """Plain text: marks dropped, references decoded, breaks as spaces."""
-    out = []
-    for node in nodes:
+    out, todo = [], [*reversed(nodes)]
+    while todo:
+        node = todo.pop()
         if node.children or node.kind in ("emphasis", "strong", "strike", "highlight", "link", "image"):
-            out.append(flatten(node.children))
+            todo += reversed(node.children)
         else:
             out.append(" " if node.kind in ("soft", "hard") else node.text)
     return "".join(out)
@@ -400,9 +426,10 @@ def flatten(nodes: list[Inline]) -> str:
 
 def wikilinks(nodes: list[Inline]) -> list[Inline]:
     """All wiki links in document order."""
-    out = []
-    for node in nodes:
+    out, todo = [], [*reversed(nodes)]
+    while todo:
+        node = todo.pop()
         if node.kind == "wikilink":
             out.append(node)
-        out += wikilinks(node.children)
+        todo += reversed(node.children)
     return out

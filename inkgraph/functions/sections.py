@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from inkgraph.functions.blake3 import blake3_hex
+from inkgraph.functions.blake3 import blake3_many
 from inkgraph.functions.document import Document, heading_text, line_of, links
 
 PREAMBLE = "Preamble"
 SEPARATOR = " > "
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def sha256_many(inputs: Sequence[bytes]) -> list[str]:
+    return [hashlib.sha256(data).hexdigest() for data in inputs]
 
 
-DIGESTS: dict[str, Callable[[bytes], str]] = {"sha256": sha256_hex, "blake3": blake3_hex}
+DIGESTS: dict[str, Callable[[Sequence[bytes]], list[str]]] = {"sha256": sha256_many, "blake3": blake3_many}
 
 
 @dataclass
@@ -71,20 +71,25 @@ def section_tree(doc: Document, digest: str = "sha256") -> list[Section]:
             section.end = max(section.end, end)
     data = doc.text.encode("utf-8", "surrogatepass")
     newlines = [i for i, b in enumerate(data) if b == 10] if out else []
-    for section in out:
+    for section, hashed in zip(out, DIGESTS[digest]([data[s.start : s.end] for s in out]), strict=True):
         section.line_start = line_of(newlines, section.start)
         section.line_end = line_of(newlines, max(section.end - 1, section.start))
-        section.content_hash = DIGESTS[digest](data[section.start : section.end])
+        section.content_hash = hashed
     return out
 
 
 def owned_links(doc: Document, sections: list[Section]) -> list[tuple]:
     """(link_ord, start, end, target, label, section_ord) of each wiki link; its section is the deepest that holds
     its start. Links in no section are left out."""
-    out = []
+    out, around, following = [], [], 0
     for block in doc.blocks:
         for start, end, target, label in links(doc, block):
-            owner = [s for s in sections if s.start <= start < s.end]
-            if owner:
-                out.append((len(out), start, end, target, label, owner[-1].ord))
+            # links and sections both come in document order; those that hold the link nest
+            while following < len(sections) and sections[following].start <= start:
+                around.append(sections[following])
+                following += 1
+            while around and around[-1].end <= start:
+                around.pop()
+            if around:
+                out.append((len(out), start, end, target, label, around[-1].ord))
     return out

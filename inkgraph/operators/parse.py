@@ -86,7 +86,7 @@ def raw_links(parsed: DataFrame) -> DataFrame:
 
 def metadata(parsed: DataFrame) -> DataFrame:
     """(file, metadata): front matter as VARIANT, null where there is none or it is invalid."""
-    return parsed.select("file", F.parse_json("parsed.metadata").alias("metadata"))
+    return parsed.select("file", F.try_parse_json("parsed.metadata").alias("metadata"))
 
 
 def document_diagnostics(parsed: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkgraph.functions.blake3 import blake3_hex
+from inkgraph.functions.blake3 import blake3_hex, blake3_many
 from inkgraph.functions.document import heading_text, links, metadata, nodes, parse
 from inkgraph.functions.inlines import decode_reference
-from inkgraph.functions.sections import section_tree
+from inkgraph.functions.sections import owned_links, section_tree
 
 
 def shape(text: str) -> list[tuple]:
@@ -197,3 +197,52 @@ def test_spans_nest(text):
     tops = [(r[5], r[6]) for r in rows if r[1] is None]
     assert all(a[1] <= b[0] for a, b in zip(tops, tops[1:], strict=False))
     section_tree(doc)
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("zip: 08123", '{"zip": 8123}'),
+        ("1: a\nb: c\ntrue: 1\n~: 2", '{"1": "a", "b": "c", "null": 2, "true": 1}'),
+        ("a: 010\nb: 0x1F\nc: 0o17\nd: +5\ne: -0", '{"a": 10, "b": 31, "c": 15, "d": 5, "e": -0}'),
+        ("a: .inf\nb: -.INF\nc: .nan\nd: .5\ne: 3.\nf: 1e3", '{"a": 1e999, "b": -1e999, "c": null, "d": 0.5, "e": 3.0, "f": 1e3}'),
+        ("a: !!timestamp 99\nb: !!str 5\nc: '5'\nd: !own x\ne: !!int '7'", '{"a": "99", "b": "5", "c": "5", "d": "x", "e": 7}'),
+        ("a: &x [1, 2]\nb: *x", '{"a": [1, 2], "b": [1, 2]}'),
+        ("- a\n- {b: [~]}", '["a", {"b": [null]}]'),
+        ("yes: on\ndate: 2001-01-01\ntime: 1:30", '{"date": "2001-01-01", "time": "1:30", "yes": "on"}'),
+        ("", None),
+    ],
+)
+def test_front_matter_values(source, expected):
+    assert metadata(parse(f"---\n{source}\n---\n")) == (expected, None)
+
+
+@pytest.mark.parametrize("source", ["a: &x [*x]", "a: 1\na: 2", "? [a]\n: b", "a: " + "[" * 5000, "a: " + "[" * 5000 + "]" * 5000, "a: !!int x", "\tbad: 1", "a: *none", "x: &a [" + "1," * 400 + "]\ny: &b [" + "*a," * 400 + "]\nz: [" + "*b," * 400 + "]"])
+def test_front_matter_errors_are_told(source):
+    value, error = metadata(parse(f"---\n{source}\n---\n# A"))
+    assert value is None and error.startswith("invalid YAML frontmatter: ")
+
+
+#: Documents that nest deeply or repeat what is costly, each of them about 20 KB to 1 MB.
+HOSTILE = {
+    "list markers": "- " * 10_000 + "x [[y]]", "quote markers": ">" * 10_000 + " x [[y]]", "stars": "* " * 10_000 + "x", "nested lists": "".join("  " * i + "- a\n" for i in range(1000)),
+    "brackets": "[" * 20_000 + "[[a]]", "dead brackets": "[ " * 5000 + "[a](b) " * 5000 + "[[x]]", "delimiters": "*a _b " * 5000 + "[[x]]", "emphasis": "*a **b " * 3000 + " c** d*" * 3000 + "[[x]]",
+    "definitions": "".join(f"[a{i}]: /x{i}\n" for i in range(8000)), "paragraph": "some words in a line [[w]] and so on to the end\n" * 20_000, "line": "word [[w]] " * 60_000,
+    "address": "www.a.com/" + ")" * 50_000 + " [[x]]", "table": "|a" * 20_000 + "\n" + "|-" * 20_000 + "\n" + "|b" * 20_000, "backslashes": "a|" + "\\" * 50_000 + "|\n-|-\n",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_documents_are_fast(name):
+    text = HOSTILE[name]
+    start = time.perf_counter()
+    doc = parse(text)
+    assert len(nodes(doc)) > 0 or name == "definitions"
+    owned_links(doc, section_tree(doc))
+    assert time.perf_counter() - start < 1 + 8 * len(text) / 1e6
+
+
+def test_blake3_of_many():
+    data = [bytes(i * 7 % 251 for i in range(n)) for n in (0, 1, 64, 1023, 1024, 1025, 2048, 5000, 70_000)]
+    assert blake3_many(data) == [blake3_hex(d) for d in data] and blake3_many([]) == []
+    assert blake3_hex(b"") == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
