@@ -1,4 +1,4 @@
-"""``python -m inkgraph.cli serve <vault-dir>``: the six verbs as tools of a Model Context Protocol server.
+"""``python -m inkgraph.cli serve <vault-dir>``: the six verbs as tools of an MCP server, hashes by BLAKE3.
 
 JSON-RPC 2.0 messages, one a line, on standard input and output: initialize, ping, tools/list and tools/call.
 """
@@ -44,7 +44,8 @@ def tree(rows: list[dict]) -> list[dict]:
     made: dict[int, dict] = {}
     roots = []
     for row in rows:
-        node = {k: row[k] for k in ("heading", "level", "heading_path", "content_hash") if k in row} | {"children": []}
+        node = {k: row[k] for k in ("heading", "level", "heading_path", "content_hash") if k in row}
+        node |= {"line_range": {"start": row["line_start"], "end": row["line_end"]}, "children": []}
         made[row["ord"]] = node
         (roots if row["parent_ord"] is None else made[row["parent_ord"]]["children"]).append(node)
     return roots
@@ -110,7 +111,7 @@ def main(args: list[str]) -> int:
 
     spark = SparkSession.builder.appName("inkgraph").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        vault = Vault(spark, args[1])
+        vault = Vault(spark, args[1], digest="blake3")
     except VaultError as error:
         print(error, file=sys.stderr)
         return 1

@@ -9,9 +9,10 @@ from inkgraph.functions import text as X
 
 
 def outline(sections: DataFrame) -> DataFrame:
-    """(file, ord, parent_ord, heading, level, heading_path) without bodies and hashes; the preamble has its name."""
+    """(file, ord, parent_ord, heading, level, heading_path, line_start, line_end) without bodies and hashes; the
+    preamble has its name."""
     heading = F.coalesce("heading", F.lit("Preamble")).alias("heading")
-    return sections.select("file", "ord", "parent_ord", heading, "level", "heading_path")
+    return sections.select("file", "ord", "parent_ord", heading, "level", "heading_path", "line_start", "line_end")
 
 
 def get_sections(docs: DataFrame, sections: DataFrame, lookups: DataFrame) -> DataFrame:

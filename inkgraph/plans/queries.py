@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkgraph.functions import text as X
 from inkgraph.operators import diff, edit, links, parse, retrieve
 from inkgraph.operators import search as ranked
+from inkgraph.plans import grammar, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,16 +33,23 @@ def text_of(*parts: Column | str) -> Column:
 # ---- vaults
 
 
+#: Keys of the customers that share a file, where a file has many.
+BLOCK = 5000
+
+
+def block_of(key: str) -> Column:
+    return F.floor(F.col(key) / BLOCK)
+
+
 def nation_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, text): a file for each nation, with a section for each of its customers."""
+    """(file, text): a file for each nation and block of customers, with a section for each of them."""
     c = F.col
     customers = table(spark, sf_dir, "customer")
     part = text_of("\n### ", c("c_name"), "\nSegment ", c("c_mktsegment"), ".\n")
-    parts = customers.groupBy(c("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", part.alias("t")))).alias("parts"))
-    rows = table(spark, sf_dir, "nation").join(parts, "n_nationkey", "left")
-    body = F.coalesce(F.array_join(F.transform("parts", lambda p: p["t"]), ""), F.lit(""))
-    text = text_of("# ", c("n_name"), "\nRegion [[region_", c("n_regionkey"), "]].\n\n## Customers\n", body)
-    return rows.select(text_of("nations/", F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), ".md").alias("file"), text.alias("text"))
+    parts = customers.groupBy(c("c_nationkey").alias("n_nationkey"), block_of("c_custkey").alias("block")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", part.alias("t")))).alias("parts"))
+    rows = parts.join(F.broadcast(table(spark, sf_dir, "nation")), "n_nationkey")
+    text = text_of("# ", c("n_name"), "\nRegion [[region_", c("n_regionkey"), "]].\n\n## Customers\n", F.array_join(F.transform("parts", lambda p: p["t"]), ""))
+    return rows.select(text_of("nations/", F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), "_", c("block"), ".md").alias("file"), text.alias("text"))
 
 
 def link_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +68,11 @@ def link_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, text): a file for each nation with a heading for each customer's market segment, many alike."""
-    parts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("p"))
+    """(file, text): a file for each nation and block of customers with a heading for each one's market segment, many
+    alike."""
+    parts = table(spark, sf_dir, "customer").groupBy("c_nationkey", block_of("c_custkey").alias("block")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("p"))
     body = F.array_join(F.transform("p", lambda x: F.concat(F.lit("## "), x["c_mktsegment"], F.lit("\n"))), "")
-    return parts.select(text_of("segments/nation_", F.col("c_nationkey"), ".md").alias("file"), body.alias("text"))
+    return parts.select(text_of("segments/nation_", F.col("c_nationkey"), "_", F.col("block"), ".md").alias("file"), body.alias("text"))
 
 
 def document_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +168,7 @@ def search_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sections_of(nation_vault(spark, sf_dir))
-    needles = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("needle_id"), text_of("nations/", F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), ".md").alias("key"), text_of(F.col("n_name"), " > Custoners").alias("needle")
-    )
+    needles = s.where("ord = 0").select(F.col("file").alias("needle_id"), F.col("file").alias("key"), text_of(F.col("heading"), " > Custoners").alias("needle"))
     return retrieve.nearest(s.select(F.col("file").alias("key"), F.col("heading_path").alias("candidate")), needles)
 
 
@@ -246,7 +253,12 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("(&[A-Za-z]+;)"))).alias("ref"))
+    """Character references of the pages, and those made from their ids: decimal, hexadecimal and names with digits."""
+    pages = table(spark, sf_dir, "pages")
+    own = F.regexp_extract_all("html", F.lit("(&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)"))
+    code = F.col("page_id") % 2000 + 33
+    made = F.array(text_of("&#", code, ";"), F.concat(F.lit("&#x"), F.lower(F.hex(code)), F.lit(";")), F.concat(F.lit("&#X"), F.hex(code), F.lit(";")), F.lit("&frac12;"), F.lit("&sup2;"), F.lit("&#0;"), F.lit("&#12345678;"), F.lit("&there4;"))
+    refs = pages.select(F.explode(F.concat(F.coalesce(own, F.array().cast("array<string>")), made)).alias("ref"))
     counted = refs.groupBy("ref").agg(F.count("*").alias("n"))
     return counted.select("ref", "n", parse.character_references(F.col("ref")).alias("decoded"))
 
@@ -281,25 +293,28 @@ def queries() -> dict[str, Query]:
     ]
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {name: search(query) for name, query in SEARCHES.items()}
+    out |= grammar.QUERIES | tools.QUERIES
     out |= {"links_unresolved": _unresolved("no file matches"), "links_ambiguous": _unresolved("is ambiguous")}
     return out | {f"diff_{change}": _diff(change) for change in ("added", "removed", "modified")}
 
 
 # ---- SQL
 
-_FILE = "'nations/' || replace(lower(n_name), ' ', '_') || '.md'"
+_FILE = "'nations/' || replace(lower(n_name), ' ', '_') || '_' || block || '.md'"
 
 _V1 = f"""
 WITH c AS (
-  SELECT c_nationkey, c_custkey, c_name, chr(10) || '### ' || c_name || chr(10) || 'Segment ' || c_mktsegment || '.' || chr(10) AS t,
-    row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer
+  SELECT c_nationkey, c_custkey, c_custkey // {BLOCK} AS block, c_name, chr(10) || '### ' || c_name || chr(10) || 'Segment ' || c_mktsegment || '.' || chr(10) AS t,
+    row_number() OVER (PARTITION BY c_nationkey, c_custkey // {BLOCK} ORDER BY c_custkey) - 1 AS i FROM customer
+), b AS (
+  SELECT c_nationkey, block, string_agg(t, '' ORDER BY c_custkey) AS body, count(*) AS k FROM c GROUP BY c_nationkey, block
 ), n AS (
-  SELECT n_nationkey, n_name, {_FILE} AS file, '# ' || n_name || chr(10) || 'Region [[region_' || n_regionkey || ']].' || chr(10) || chr(10) AS top FROM nation
+  SELECT n_nationkey, block, n_name, body, k, {_FILE} AS file, '# ' || n_name || chr(10) || 'Region [[region_' || n_regionkey || ']].' || chr(10) || chr(10) AS top
+  FROM nation JOIN b ON c_nationkey = n_nationkey
 ), h AS (
-  SELECT n.*, top || '## Customers' || chr(10) AS head, coalesce((SELECT string_agg(t, '' ORDER BY c_custkey) FROM c WHERE c.c_nationkey = n.n_nationkey), '') AS body,
-    (SELECT count(*) FROM c WHERE c.c_nationkey = n.n_nationkey) AS k FROM n
+  SELECT n.*, top || '## Customers' || chr(10) AS head FROM n
 ), p AS (
-  SELECT c_nationkey, c_name, i, t, coalesce(sum(strlen(t)) OVER (PARTITION BY c_nationkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c
+  SELECT c_nationkey, block, c_name, i, t, coalesce(sum(strlen(t)) OVER (PARTITION BY c_nationkey, block ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c
 ), s AS (
   SELECT file, 0 AS ord, NULL AS parent_ord, 1 AS level, n_name AS heading, n_name AS heading_path, 0 AS a, strlen(head || body) - 1 AS b,
     1 AS line_start, CASE WHEN k = 0 THEN 4 ELSE 4 + 3 * k END AS line_end, head || body AS content FROM h
@@ -307,7 +322,7 @@ WITH c AS (
   SELECT file, 1, 0, 2, 'Customers', n_name || ' > Customers', strlen(top), strlen(head || body) - 1, 4, CASE WHEN k = 0 THEN 4 ELSE 4 + 3 * k END, head || body FROM h
   UNION ALL
   SELECT file, 2 + i, 1, 3, c_name, n_name || ' > Customers > ' || c_name, strlen(head) + before + 1, strlen(head) + before + strlen(t) - 1, 6 + 3 * i, 7 + 3 * i, head || body
-  FROM h JOIN p ON c_nationkey = n_nationkey
+  FROM h JOIN p ON c_nationkey = n_nationkey AND p.block = h.block
 )
 """
 
@@ -353,7 +368,7 @@ _SAID = "'wikilink ''[[' || {0} || ']]'' in section ''' || {1} || ''' of ''' ||
 
 #: Columns that are 32-bit integers in the queries and wider in the SQL.
 _INTEGERS = {
-    "sections_v1": ["ord", "start_byte", "end_byte"], "line_ranges": ["line_start", "line_end"], "outline": ["ord"], "duplicate_headings": ["ord"],
+    "sections_v1": ["ord", "start_byte", "end_byte"], "line_ranges": ["line_start", "line_end"], "outline": ["ord", "line_start", "line_end"], "duplicate_headings": ["ord"],
     "document_sections": ["end_byte"], "raw_wikilinks": ["link_ord"], "levenshtein": ["to_type", "to_brand"],
 }
 
@@ -366,25 +381,25 @@ def oracle_sql() -> dict[str, str]:
         "section_hash": f"{_V1} SELECT file, heading_path, sha256(substr(content, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT))) AS content_hash FROM s",
         "line_ranges": f"{_V1} SELECT file, heading_path, line_start, line_end FROM s",
         "outline": f"""
-          SELECT 'regions/region_' || r_regionkey || '.md' AS file, 0 AS ord, NULL AS parent_ord, r_name AS heading, 1 AS level, r_name AS heading_path FROM region
+          SELECT 'regions/region_' || r_regionkey || '.md' AS file, 0 AS ord, NULL AS parent_ord, r_name AS heading, 1 AS level, r_name AS heading_path, 1 AS line_start, 1 AS line_end FROM region
           UNION ALL SELECT {_NATION}, o, CASE WHEN o > 0 THEN 0 END, CASE o WHEN 0 THEN n_name WHEN 1 THEN 'Home' ELSE 'Twice' END, CASE o WHEN 0 THEN 1 ELSE 2 END,
-            n_name || CASE o WHEN 0 THEN '' WHEN 1 THEN ' > Home' WHEN 2 THEN ' > Twice' ELSE ' > Twice[2]' END FROM nation, range(4) r(o)
+            n_name || CASE o WHEN 0 THEN '' WHEN 1 THEN ' > Home' WHEN 2 THEN ' > Twice' ELSE ' > Twice[2]' END, CASE o WHEN 0 THEN 1 ELSE 3 * o END, CASE o WHEN 0 THEN 10 ELSE 3 * o + 1 END FROM nation, range(4) r(o)
           UNION ALL SELECT {_CUST}, o, CASE WHEN o > 0 THEN 0 END, CASE o WHEN 0 THEN c_name WHEN 1 THEN 'Place' ELSE 'Notes' END, CASE o WHEN 0 THEN 1 ELSE 2 END,
-            c_name || CASE o WHEN 0 THEN '' WHEN 1 THEN ' > Place' ELSE ' > Notes' END FROM customer, range(3) r(o)""",
+            c_name || CASE o WHEN 0 THEN '' WHEN 1 THEN ' > Place' ELSE ' > Notes' END, CASE o WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 9 END, CASE o WHEN 1 THEN 7 ELSE 10 END FROM customer, range(3) r(o)""",
         "get_section": f"""
           WITH t AS (SELECT {_CUST} AS file, c_name || ' > Notes' AS heading_path,
             '## Notes' || chr(10) || c_mktsegment || ' via [[nations/nation_' || c_nationkey || ']] and [[none/at_all]].' AS content FROM customer)
           SELECT file, heading_path, content, sha256(content) AS content_hash FROM t""",
         "search_order": _order_sql(),
         "nearest_paths": f"""{_V1}, d AS (
-          SELECT n_nationkey AS needle_id, heading_path AS candidate,
-            row_number() OVER (PARTITION BY n_nationkey ORDER BY levenshtein(lower(n_name || ' > Custoners'), lower(heading_path)), heading_path) AS rank
+          SELECT n.file AS needle_id, heading_path AS candidate,
+            row_number() OVER (PARTITION BY n.file ORDER BY levenshtein(lower(n_name || ' > Custoners'), lower(heading_path)), heading_path) AS rank
           FROM n JOIN s ON s.file = n.file)
           SELECT needle_id, CAST(rank AS INTEGER) AS rank, candidate FROM d WHERE rank <= 3""",
-        "duplicate_headings": """
-          WITH d AS (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord,
-            row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer)
-          SELECT 'segments/nation_' || c_nationkey || '.md' AS file, ord, c_mktsegment || CASE WHEN k = 1 THEN '' ELSE '[' || k || ']' END AS heading_path FROM d""",
+        "duplicate_headings": f"""
+          WITH d AS (SELECT c_nationkey, c_custkey // {BLOCK} AS block, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_custkey // {BLOCK} ORDER BY c_custkey) - 1 AS ord,
+            row_number() OVER (PARTITION BY c_nationkey, c_custkey // {BLOCK}, c_mktsegment ORDER BY c_custkey) AS k FROM customer)
+          SELECT 'segments/nation_' || c_nationkey || '_' || block || '.md' AS file, ord, c_mktsegment || CASE WHEN k = 1 THEN '' ELSE '[' || k || ']' END AS heading_path FROM d""",
         "document_sections": """
           WITH d AS (SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || text AS content FROM documents)
           SELECT 'docs/doc_' || doc_id || '.md' AS file, 'Document ' || doc_id AS heading_path, strlen(content) AS end_byte, sha256(content) AS content_hash FROM d""",
@@ -418,9 +433,14 @@ def oracle_sql() -> dict[str, str]:
         "path_normalize": r"""
           SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'lore/' || c_name || '/x.md' END AS path, c_name || CASE WHEN c_custkey % 3 = 0 THEN '\..\x' ELSE '\.\x' END AS stem FROM customer""",
         "char_refs": """
-          WITH r AS (SELECT unnest(regexp_extract_all(html, '&[A-Za-z]+;')) AS ref FROM pages)
-          SELECT ref, count(*) AS n, CASE ref WHEN '&amp;' THEN '&' WHEN '&copy;' THEN chr(169) WHEN '&middot;' THEN chr(183) WHEN '&quot;' THEN '"' WHEN '&nbsp;' THEN chr(160)
-            WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&eacute;' THEN chr(233) WHEN '&mdash;' THEN chr(8212) WHEN '&hellip;' THEN chr(8230) END AS decoded FROM r GROUP BY ref""",
+          WITH r AS (
+            SELECT unnest(regexp_extract_all(html, '&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);')) AS ref, NULL AS code FROM pages
+            UNION ALL SELECT '&#' || (page_id % 2000 + 33) || ';', page_id % 2000 + 33 FROM pages
+            UNION ALL SELECT '&#x' || lower(hex(page_id % 2000 + 33)) || ';', page_id % 2000 + 33 FROM pages
+            UNION ALL SELECT '&#X' || hex(page_id % 2000 + 33) || ';', page_id % 2000 + 33 FROM pages
+            UNION ALL SELECT unnest(['&frac12;', '&sup2;', '&#0;', '&#12345678;', '&there4;']), NULL FROM pages)
+          SELECT ref, count(*) AS n, CASE WHEN max(code) IS NOT NULL THEN chr(CAST(max(code) AS INTEGER)) ELSE CASE ref WHEN '&frac12;' THEN chr(189) WHEN '&sup2;' THEN chr(178) WHEN '&#0;' THEN chr(65533) WHEN '&there4;' THEN chr(8756) WHEN '&amp;' THEN '&' WHEN '&copy;' THEN chr(169) WHEN '&middot;' THEN chr(183) WHEN '&quot;' THEN '"' WHEN '&nbsp;' THEN chr(160)
+            WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&eacute;' THEN chr(233) WHEN '&mdash;' THEN chr(8212) WHEN '&hellip;' THEN chr(8230) END END AS decoded FROM r GROUP BY ref""",
         "frontmatter_meta": """
           SELECT 'front/cust_' || c_custkey || '.md' AS file, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS key, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS name,
             CASE WHEN c_custkey % 5 <> 0 THEN 'b' END AS tag FROM customer""",
@@ -434,4 +454,5 @@ def oracle_sql() -> dict[str, str]:
     for name, columns in _INTEGERS.items():
         casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
         out[name] = f"SELECT * REPLACE ({casts}) FROM ({out[name]})"
+    out |= grammar.oracle_sql() | tools.oracle_sql()
     return out | {name: f"{_search_sql(query)} SELECT score, file, heading_path FROM r WHERE score IS NOT NULL" for name, query in SEARCHES.items()}

@@ -117,17 +117,24 @@ class Vault:
             old.close()
             return changes
 
+    @staticmethod
+    def changes(old: Snapshot, new: Snapshot) -> DataFrame:
+        """(file, change, heading_path) of all that changed; the path is null for files that only one side has."""
+        files = diff.diff_files(old.files, new.files).select("file", "change", F.lit(None).cast("string").alias("heading_path"))
+        return files.union(diff.diff_sections(old.sections, new.sections, old.files, new.files))
+
     @staticmethod
     def difference(old: Snapshot, new: Snapshot) -> dict[str, list]:
-        files = diff.diff_files(old.files, new.files).orderBy("file").collect()
-        changed: dict[str, dict[str, list[str]]] = {}
-        for row in diff.diff_sections(old.sections, new.sections, old.files, new.files).orderBy("file", "heading_path").collect():
-            changed.setdefault(row["file"], {"added": [], "removed": [], "modified": []})[row["change"]].append(row["heading_path"])
-        return {
-            "files_added": [r["file"] for r in files if r["change"] == "added"],
-            "files_removed": [r["file"] for r in files if r["change"] == "removed"],
-            "files_changed": [{"file": f, **c} for f, c in changed.items()],
-        }
+        """What :meth:`changes` tells as one nested result."""
+        out: dict[str, list] = {"files_added": [], "files_removed": [], "files_changed": []}
+        for file, change, path in Vault.changes(old, new).orderBy("file", "heading_path").collect():
+            if path is None:
+                out[f"files_{change}"].append(file)
+                continue
+            if not out["files_changed"] or out["files_changed"][-1]["file"] != file:
+                out["files_changed"].append({"file": file, "sections_added": [], "sections_removed": [], "sections_modified": []})
+            out["files_changed"][-1][f"sections_{change}"].append(path)
+        return out
 
     def reindex_file(self, file: str) -> None:
         """Read one file again, of any extension, and resolve all links anew."""

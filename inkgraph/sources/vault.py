@@ -11,42 +11,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that wait when the driver leaves them to tasks.
+FOLDERS = 256
+
+
 class VaultError(ValueError):
     """The folder isn't there or isn't a folder."""
 
 
-def list_markdown(root: str) -> tuple[list[str], list[tuple[str | None, str]]]:
-    """(paths relative to ``root``, diagnostics) of all .md files in any case; links are not followed."""
+def _check(root: str) -> None:
     if not os.path.exists(root):
         raise VaultError(f"vault path '{root}' does not exist")
     if not os.path.isdir(root):
         raise VaultError(f"vault path '{root}' is not a directory")
-    found, said = [], []
-    for folder, names, files in os.walk(root, followlinks=False, onerror=lambda e: said.append((None, f"failed to read directory: {e}"))):
-        names.sort()
-        for name in files:
-            path = os.path.join(folder, name)
-            if name.lower().endswith(".md") and len(name) > 3 and os.path.isfile(path) and not os.path.islink(path):
-                relative = os.path.relpath(path, root).replace(os.sep, "/")
+
+
+def _entries(root: str, folder: str) -> tuple[list[str], list[str], list[tuple[str | None, str]]]:
+    """(.md files in any case, relative to ``root``; folders; diagnostics) directly in ``folder``; links are left out."""
+    found, folders, said = [], [], []
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError as error:
+        return [], [], [(None, f"failed to read directory: {error}")]
+    for entry in entries:
+        try:
+            if entry.is_dir(follow_symlinks=False):
+                folders.append(entry.path)
+            elif entry.is_file(follow_symlinks=False) and entry.name.lower().endswith(".md") and len(entry.name) > 3:
+                relative = os.path.relpath(entry.path, root).replace(os.sep, "/")
                 try:
                     relative.encode("utf-8")
+                    found.append(relative)
                 except UnicodeEncodeError:
                     said.append((None, f"path is not valid Unicode: {relative!r}"))
-                    continue
-                found.append(relative)
-    return sorted(found), said
+        except OSError as error:
+            said.append((None, f"failed to inspect path: {error}"))
+    return found, folders, said
+
+
+def list_markdown(root: str, most: int | None = None) -> tuple[list[str], list[str], list[tuple[str | None, str]]]:
+    """(paths relative to ``root`` in order, folders that weren't entered, diagnostics): all folders are entered, or as
+    many as it takes until ``most`` wait."""
+    _check(root)
+    found, waiting, said = [], [root], []
+    while waiting and (most is None or len(waiting) < most):
+        files, folders, errors = _entries(root, waiting.pop(0))
+        found += files
+        waiting += folders
+        said += errors
+    return sorted(found), waiting, said
 
 
 def hold(df: DataFrame) -> DataFrame:
     """``df`` as it is now, in the checkpoint folder that all executors share: later changes of its source, or lost
     executors, don't alter it. Where ``spark.checkpoint.dir`` is unset: a temporary folder under a local master, else
-    one beside the warehouse's tables."""
+    one beside the warehouse's tables, if those aren't on one machine's disk."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-            folder = tempfile.mkdtemp(prefix="vault-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vault"
+        if not folder and spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="vault-")
+        elif not folder:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vault"
+            if folder.startswith(("file:", "/")):
+                raise VaultError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -54,16 +82,28 @@ def hold(df: DataFrame) -> DataFrame:
 def read_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(documents (file, text), diagnostics (file, message)) of a folder that executors can read.
 
-    The driver lists names; tasks read the files, at once, so that the tables are the folder's state at this moment.
-    What isn't UTF-8 or can't be read becomes a diagnostic."""
-    names, said = list_markdown(root)
-    listing = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, min(len(names), 10_000) // 64 + 1), "file")
-    base = os.path.abspath(root)
+    The driver enters folders until FOLDERS wait, which tasks enter; tasks read the files, at once, so that the tables are
+    the folder's state at this moment. What isn't UTF-8 or can't be read becomes a diagnostic."""
+    known, waiting, said = list_markdown(root, FOLDERS)
+    base, top = os.path.abspath(root), root
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                todo = [folder]
+                while todo:
+                    files, folders, errors = _entries(top, todo.pop())
+                    todo += folders
+                    if files or errors:
+                        yield pd.DataFrame([(f, None) for f in files] + errors, columns=["file", "message"], dtype=object)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name in batch["file"]:
+            for name, message in zip(batch["file"], batch["message"], strict=True):
+                if name is None:
+                    rows.append((None, None, message))
+                    continue
                 try:
                     with open(os.path.join(base, name), "rb") as file:
                         rows.append((name, file.read().decode("utf-8"), None))
@@ -72,9 +112,13 @@ def read_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             if rows:
                 yield pd.DataFrame(rows, columns=["file", "text", "message"])
 
-    rows = hold(listing.mapInPandas(run, "file string, text string, message string"))
-    early = spark.createDataFrame(said, "file string, message string")
-    return rows.where("message IS NULL").select("file", "text"), early.union(rows.where("message IS NOT NULL").select("file", "message"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    listing = spark.createDataFrame([(n, None) for n in known] + said, "file string, message string")
+    if waiting:
+        folders = spark.createDataFrame([(f,) for f in waiting], "folder string").repartition(min(len(waiting), tasks))
+        listing = listing.union(folders.mapInPandas(walk, "file string, message string"))
+    rows = hold(listing.repartition(tasks, "file").mapInPandas(read, "file string, text string, message string"))
+    return rows.where("message IS NULL").select("file", "text"), rows.where("message IS NOT NULL").select("file", "message")
 
 
 def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
@@ -8,22 +9,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgraph.functions import text as X
+from inkgraph.functions.blake3 import blake3_hex
 from inkgraph.operators.edit import EditRejected, apply_edit, escaping_heading
 from inkgraph.functions.document import parse
 from inkgraph.functions.sections import section_tree
+from inkgraph.operators.search import search, search_many
 from inkgraph.plans.vault import NotFound, Vault
 from inkgraph.sources.vault import VaultError, list_markdown, read_store
 
-PLAYER = (
-    "---\ntags: [character]\n---\n## Skills\nCharacter abilities.\n\n### Gun\nFire the equipped weapon.\n\n### Sword\nSwing the equipped blade.\n\n"
-    "## Inventory\nCarried items.\n\n## Notes\nSee [[weapons]] for lore, or [[weapons#Gun Skill]] for specifics. Self-link: [[#Inventory]]. "
-    "Unresolved: [[Nonexistent]] and [[weapons#Nothing]]. Ambiguous: [[armor#Gun Skill]].\n"
+HERBS = (
+    "---\nkind: [plant]\n---\n# Basil\nLikes warmth.\n\n## Sowing\nIn spring, under glass.\n\n## Harvest\nBefore it flowers.\n\n"
+    "# Care\nSee [[soil]], [[soil#Mixing]], [[#Basil]], [[gone]], [[soil#Absent]] and [[water#Timing]].\n"
 )
 FILES = {
-    "player.md": PLAYER,
-    "lore/weapons.md": "# Weapons\n\n## Gun Skill\nAdvanced firearm handling.\n",
-    "lore/armor.md": "# Armor\n\n## Gun Skill\nAmbiguous instance A.\n\n## Gun Skill\nAmbiguous instance B.\n",
-    "ignored.txt": "# Not Markdown",
+    "herbs.md": HERBS,
+    "beds/soil.md": "# Soil\n\n## Mixing\nTwo parts compost.\n",
+    "beds/water.md": "# Water\n\n## Timing\nIn the morning.\n\n## Timing\nIn the evening.\n",
+    "list.txt": "# No vault file",
 }
 
 
@@ -43,62 +45,58 @@ def folder(tmp_path):
 
 def test_tables(spark, folder):
     vault = Vault(spark, folder)
-    assert [r["file"] for r in vault.files().collect()] == ["lore/armor.md", "lore/weapons.md", "player.md"]
+    assert [r["file"] for r in vault.files().collect()] == ["beds/soil.md", "beds/water.md", "herbs.md"]
     rows = {(r["file"], r["heading_path"]): r for r in vault.snapshot.sections.collect()}
-    gun = rows["player.md", "Skills > Gun"]
-    assert (gun["start"], gun["end"], gun["line_start"], gun["line_end"], gun["content_hash"][:16]) == (58, 91, 7, 8, "0ec88474ab1261ec")
-    assert len(rows) == 10
+    sowing, own = rows["herbs.md", "Basil > Sowing"], "## Sowing\nIn spring, under glass."
+    at = HERBS.index(own)
+    assert (sowing["start"], sowing["end"], sowing["line_start"], sowing["line_end"]) == (at, at + len(own), 7, 8)
+    assert sowing["content_hash"] == hashlib.sha256(own.encode()).hexdigest() and len(rows) == 9
     edges = {tuple(r) for r in vault.snapshot.backlinks.select("target_file", "from_heading_path", "raw_target", "target_heading_path").collect()}
-    assert edges == {
-        ("lore/weapons.md", "Notes", "weapons", None),
-        ("lore/weapons.md", "Notes", "weapons#Gun Skill", "Weapons > Gun Skill"),
-        ("player.md", "Notes", "#Inventory", "Inventory"),
-    }
+    assert edges == {("beds/soil.md", "Care", "soil", None), ("beds/soil.md", "Care", "soil#Mixing", "Soil > Mixing"), ("herbs.md", "Care", "#Basil", "Basil")}
     said = [r["message"] for r in vault.diagnostics().collect()]
-    assert len(said) == 3 and any("no file matches 'Nonexistent'" in m for m in said)
-    assert any(m.endswith("heading 'Gun Skill' is ambiguous: Armor > Gun Skill, Armor > Gun Skill[2]") for m in said)
+    assert len(said) == 3 and any(m.endswith("no file matches 'gone'") for m in said) and any(m.endswith("no heading named 'Absent'") for m in said)
+    assert any(m.endswith("heading 'Timing' is ambiguous: Water > Timing, Water > Timing[2]") for m in said)
 
 
 def test_search_and_lookups(spark, folder):
     vault = Vault(spark, folder)
     found = lambda q: [(r["score"], r["file"], r["heading_path"]) for r in vault.search(q).collect()]
-    assert [s for s, *_ in found("skill gun")] == [29000, 29000, 29000, 20100, 10100, 10100]
-    assert found("Weapons > Gun Skill")[0] == (40000, "lore/weapons.md", "Weapons > Gun Skill")
-    assert [s for s, *_ in found("Weapons > Gun Skill")] == [40000, 10202, 10202, 10201, 10101, 10100, 10100]
-    assert found("Gun")[0] == (30000, "player.md", "Skills > Gun")
-    assert found("?!") == []
-    got = vault.get_section("./player.md", "Skills > Gun")
-    assert got["content"] == "### Gun\nFire the equipped weapon."
+    assert found("harvest basil") == [(20200, "herbs.md", "Basil > Harvest"), (10101, "herbs.md", "Basil"), (10101, "herbs.md", "Basil > Sowing")]
+    assert found("Basil > Harvest")[0] == (40000, "herbs.md", "Basil > Harvest")
+    assert found("mixing")[0] == (30000, "beds/soil.md", "Soil > Mixing") and [s for s, *_ in found("timing")] == [30000, 30000]
+    assert [s for s, *_ in found("sow")] == [20000] and found("?!") == []
+    got = vault.get_section("./herbs.md", "Basil > Harvest")
+    assert got["content"] == "## Harvest\nBefore it flowers." and got["provenance"]["line_range"] == {"start": 10, "end": 11}
     with pytest.raises(NotFound) as error:
-        vault.get_section("player.md", "Skills > Cannon")
-    assert error.value.suggestions == ["Skills > Gun", "Skills > Sword", "Skills"]
-    with pytest.raises(NotFound, match="file 'playr.md' is not indexed"):
-        vault.outline("playr.md")
-    assert [r["heading"] for r in vault.outline("player.md").collect()] == ["Skills", "Gun", "Sword", "Inventory", "Notes"]
-    assert vault.backlinks("lore/weapons.md").count() == 2
-    assert vault.backlinks("lore/weapons.md", "Weapons > Gun Skill").count() == 1
-    assert vault.backlinks("lore/weapons.md", "No such").count() == 0
+        vault.get_section("herbs.md", "Basil > Sawing")
+    assert error.value.suggestions == ["Basil > Sowing", "Basil > Harvest", "Basil"]
+    with pytest.raises(NotFound, match="file 'herb.md' is not indexed"):
+        vault.outline("herb.md")
+    assert [(r["heading"], r["line_start"], r["line_end"]) for r in vault.outline("herbs.md").collect()] == [("Basil", 4, 11), ("Sowing", 7, 8), ("Harvest", 10, 11), ("Care", 13, 14)]
+    assert vault.backlinks("beds/soil.md").count() == 2
+    assert vault.backlinks("beds/soil.md", "Soil > Mixing").count() == 1
+    assert vault.backlinks("beds/soil.md", "No such").count() == 0
 
 
 def test_edit_and_reindex(spark, folder):
     vault = Vault(spark, folder)
-    before = vault.get_section("player.md", "Skills > Gun")["provenance"]["content_hash"]
-    rows = vault.edit_section("player.md", "Skills > Gun", "New body", before).collect()
-    assert [r["heading_path"] for r in rows] == ["Skills", "Skills > Gun", "Skills > Sword", "Inventory", "Notes"]
-    with open(os.path.join(folder, "player.md")) as file:
-        assert file.read() == PLAYER.replace("Fire the equipped weapon.", "New body")
+    before = vault.get_section("herbs.md", "Basil > Sowing")["provenance"]["content_hash"]
+    rows = vault.edit_section("herbs.md", "Basil > Sowing", "Outdoors in May.", before).collect()
+    assert [(r["heading_path"], r["line_start"]) for r in rows] == [("Basil", 4), ("Basil > Sowing", 7), ("Basil > Harvest", 10), ("Care", 13)]
+    with open(os.path.join(folder, "herbs.md")) as file:
+        assert file.read() == HERBS.replace("In spring, under glass.", "Outdoors in May.")
     assert not [f for f in os.listdir(folder) if f.endswith("tmp")]
     with pytest.raises(EditRejected) as error:
-        vault.edit_section("player.md", "Skills > Gun", "x", before)
+        vault.edit_section("herbs.md", "Basil > Sowing", "x", before)
     assert error.value.kind == "conflict" and error.value.current_hash == rows[1]["content_hash"]
     with pytest.raises(NotFound):
-        vault.edit_section("../player.md", "Skills", "x", before)
-    save(folder, {"lore/weapons.md": FILES["lore/weapons.md"] + "\n## Nothing\nx\n\n### Sub\ny\n", "new.md": "# N"})
-    os.unlink(os.path.join(folder, "lore/armor.md"))
+        vault.edit_section("../herbs.md", "Basil", "x", before)
+    save(folder, {"beds/soil.md": FILES["beds/soil.md"] + "\n## Absent\nx\n\n### Below\ny\n", "tools.md": "# T"})
+    os.unlink(os.path.join(folder, "beds/water.md"))
     changes = vault.reindex()
-    inside = {"file": "lore/weapons.md", "added": ["Weapons > Nothing"], "removed": [], "modified": []}
-    assert changes == {"files_added": ["new.md"], "files_removed": ["lore/armor.md"], "files_changed": [inside]}
-    assert vault.backlinks("lore/weapons.md").count() == 3
+    inside = {"file": "beds/soil.md", "sections_added": ["Soil > Absent"], "sections_removed": [], "sections_modified": []}
+    assert changes == {"files_added": ["tools.md"], "files_removed": ["beds/water.md"], "files_changed": [inside]}
+    assert vault.backlinks("beds/soil.md").count() == 3
     assert vault.reindex() == {"files_added": [], "files_removed": [], "files_changed": []}
 
 
@@ -108,33 +106,33 @@ def test_index_is_the_state_when_it_was_read(spark, folder):
         out.write(b"# \xff")
     os.mkfifo(os.path.join(folder, "pipe.md"))
     vault = Vault(spark, folder)
-    save(folder, {"lore/weapons.md": "# Weapons\n\n## Gun Skill\nChanged.\n"})
-    assert vault.get_section("lore/weapons.md", "Weapons > Gun Skill")["content"] == "## Gun Skill\nAdvanced firearm handling."
-    assert vault.search("skill").count() == 6
-    inside = {"file": "lore/weapons.md", "added": [], "removed": [], "modified": ["Weapons > Gun Skill"]}
+    save(folder, {"beds/soil.md": "# Soil\n\n## Mixing\nThree parts.\n"})
+    assert vault.get_section("beds/soil.md", "Soil > Mixing")["content"] == "## Mixing\nTwo parts compost."
+    assert vault.search("timing").count() == 2
+    inside = {"file": "beds/soil.md", "sections_added": [], "sections_removed": [], "sections_modified": ["Soil > Mixing"]}
     assert vault.reindex() == {"files_added": [], "files_removed": [], "files_changed": [inside]}
     before = {tuple(r) for r in vault.diagnostics().collect()}
-    assert {f for f, _ in before} >= {"bytes.md", "player.md"}
-    save(folder, {"plain.txt": "# Plain\n[[weapons]]"})
+    assert {f for f, _ in before} >= {"bytes.md", "herbs.md", "broken.md"}
+    save(folder, {"plain.txt": "# Plain\n[[soil]]"})
     vault.reindex_file("./plain.txt")
     assert {tuple(r) for r in vault.diagnostics().collect()} == before
-    assert vault.backlinks("lore/weapons.md").count() == 3
+    assert vault.backlinks("beds/soil.md").count() == 3
     with pytest.raises(NotFound) as error:
-        vault.reindex_file("lore/weapon.md")
-    assert error.value.suggestions[0] == "lore/weapons.md"
+        vault.reindex_file("beds/sail.md")
+    assert error.value.suggestions[0] == "beds/soil.md"
     with pytest.raises(NotFound):
-        vault.reindex_file("../player.md")
+        vault.reindex_file("../herbs.md")
 
 
 def test_many_replacements(spark, folder, monkeypatch):
     monkeypatch.setattr("inkgraph.plans.vault.REPLACED", 2)
     vault = Vault(spark, folder)
     for i in range(3):
-        path = "Weapons > Gun Skill"
-        rows = vault.edit_section("lore/weapons.md", path, f"Body {i}", vault.get_section("lore/weapons.md", path)["provenance"]["content_hash"])
+        path = "Soil > Mixing"
+        rows = vault.edit_section("beds/soil.md", path, f"Body {i}", vault.get_section("beds/soil.md", path)["provenance"]["content_hash"])
         assert rows.count() == 2
-    assert vault.get_section("lore/weapons.md", path)["content"] == "## Gun Skill\nBody 2"
-    assert vault.files().count() == 3 and vault.backlinks("lore/weapons.md").count() == 2
+    assert vault.get_section("beds/soil.md", path)["content"] == "## Mixing\nBody 2"
+    assert vault.files().count() == 3 and vault.backlinks("beds/soil.md").count() == 2
     assert vault.reindex() == {"files_added": [], "files_removed": [], "files_changed": []}
 
 
@@ -143,20 +141,22 @@ def _hash(text, path):
 
 
 def test_edit_rules():
-    crlf = "## Head\r\nold body\r\n\r\n## Next\r\nnext"
-    assert apply_edit("f", crlf, "Head", "new", _hash(crlf, "Head")) == "## Head\r\nnew\r\n\r\n## Next\r\nnext"
-    assert apply_edit("f", crlf, "Head", "  \n", _hash(crlf, "Head")) == "## Head\r\n\r\n## Next\r\nnext"
-    for body in ("## Same Level", "# Higher\ntext", "Sneaky\n---", "---\n# Sneaky\n---"):
-        assert escaping_heading(body, 2)
-    for body in ("### Deeper\ntext", "> ## Quoted", "plain text"):
-        assert not escaping_heading(body, 2)
-    glue = "## Head\n```\nfence\n```\nNext Title\n----------\nnext body"
-    for path, body, kind in (("Head", "paragraph", "restructure"), ("Nope", "x", "not_found"), ("Head", "# x", "escape")):
+    crlf = "# Tea\r\ngreen\r\n\r\n# Milk\r\nwhole"
+    assert apply_edit("f", crlf, "Tea", "black\n\n", _hash(crlf, "Tea")) == "# Tea\r\nblack\r\n\r\n# Milk\r\nwhole"
+    assert apply_edit("f", crlf, "Tea", "\t\n", _hash(crlf, "Tea")) == "# Tea\r\n\r\n# Milk\r\nwhole"
+    assert apply_edit("f", crlf, "Milk", "## Oat", _hash(crlf, "Milk")).endswith("# Milk\r\n## Oat")
+    for body in ("### Equal", "## Above\nx", "Under\n===", "x\n\n---\nUnder\n---"):
+        assert escaping_heading(body, 3)
+    for body in ("#### Below\nx", "- # In a list", "```\n# code\n```", "words"):
+        assert not escaping_heading(body, 3)
+    # an open fence, or a line that becomes part of the next heading, takes in what follows the section
+    glued = "# A\n> quote\nTitle\n=====\nb"
+    for path, body, kind in (("A", "~~~\nopen", "restructure"), ("B", "x", "not_found"), ("A", "Two\n===", "escape")):
         with pytest.raises(EditRejected) as error:
-            apply_edit("f", glue, path, body, _hash(glue, "Head"))
+            apply_edit("f", glued if kind != "restructure" else "# A\nx\n# C\ny", path, body, _hash(glued if kind != "restructure" else "# A\nx\n# C\ny", "A"))
         assert error.value.kind == kind
     with pytest.raises(EditRejected) as error:
-        apply_edit("f", "pre\n\n# A", "Preamble", "x", "")
+        apply_edit("f", "words\n\n# A", "Preamble", "x", "")
     assert error.value.kind == "invalid_target"
 
 
@@ -165,15 +165,15 @@ def test_diff_rules(spark):
         make = lambda rows: spark.createDataFrame(rows, "file string, text string")
         vault = Vault(spark, docs=make(old))
         out = vault.reindex(make(new))
-        return {c["file"]: (c["added"], c["removed"], c["modified"]) for c in out["files_changed"]}
+        return {c["file"]: (c["sections_added"], c["sections_removed"], c["sections_modified"]) for c in out["files_changed"]}
 
-    one = "## Skills\nintro\n\n### Gun\nold body\n\n## Inventory\nitems"
-    two = "## Skills\nintro\n\n### Gun\nnew body\n\n## Notes\ntext"
-    assert changes([("a.md", one)], [("a.md", two)]) == {"a.md": (["Notes"], ["Inventory"], ["Skills > Gun"])}
-    three = "# Player\nintro\n\n## Notes\ntext\n\n### Sub\nchild"
-    assert changes([("a.md", "# Player\nintro")], [("a.md", three)]) == {"a.md": (["Player > Notes"], [], [])}
-    assert changes([("a.md", "## Gun\nbody")], [("a.md", "## Rifle\nbody")]) == {"a.md": (["Rifle"], ["Gun"], [])}
-    assert changes([("a.md", "---\na: 1\n---\n# A")], [("a.md", "---\na: 2\n---\n# A")]) == {}
+    before = "# Tea\nhot\n\n## Green\nmild\n\n## Black\nstrong\n\n# Milk\ncold"
+    after = "# Tea\nhot\n\n## Green\nvery mild\n\n## Black\nstrong\n\n# Juice\ncold\n\n## Apple\nx"
+    assert changes([("d.md", before)], [("d.md", after)]) == {"d.md": (["Juice"], ["Milk"], ["Tea > Green"])}
+    assert changes([("d.md", "# Tea\nhot")], [("d.md", "# Tea\nhot\n\n## Cups\na\n\n### Small\nb")]) == {"d.md": (["Tea > Cups"], [], [])}
+    assert changes([("d.md", "# Tea\nhot")], [("d.md", "# Tea\ncold")]) == {"d.md": ([], [], ["Tea"])}
+    assert changes([("d.md", "# Tea\n\nhot")], [("d.md", "# Tee\n\nhot")]) == {"d.md": (["Tee"], ["Tea"], [])}
+    assert changes([("d.md", "---\nx: 1\n---\n# Tea\n\n# Milk")], [("d.md", "---\nx: 2\n---\n# Tea\n\n\n\n# Milk")]) == {}
 
 
 def test_link_resolution(spark):
@@ -219,22 +219,54 @@ def test_scalar_functions(spark):
     assert one(X.target_heading(F.lit("A#B#C"))) == "B#C" and one(X.target_heading(F.lit("A"))) is None
 
 
+def test_folders_are_walked_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("inkgraph.sources.vault.FOLDERS", 2)
+    save(tmp_path, {f"{a}/{b}/{c}.md": f"# {a}{b}{c}" for a in "xyz" for b in "pq" for c in "12"} | {"top.md": "# top"})
+    assert [r["file"] for r in Vault(spark, str(tmp_path)).files().collect()] == sorted([f"{a}/{b}/{c}.md" for a in "xyz" for b in "pq" for c in "12"] + ["top.md"])
+
+
+def test_search_many_matches_single_searches(spark):
+    docs = [(f"{i}.md", f"# {h}\n\n## {h[::-1]} part\n") for i, h in enumerate(["Apple pie", "Applesauce", "Pie chart", "ap", "Äpfel", "a", "chart-2 part"])]
+    sections = Vault(spark, docs=spark.createDataFrame(docs, "file string, text string")).snapshot.sections
+    asked = ["apple", "pie a", "applesauces", "part", "äpf x", "?", "chart 2", "ap ap"]
+    found = search_many(sections, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"))
+    rows = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        rows.setdefault(r["query_id"], []).append((r["score"], r["file"], r["heading_path"]))
+    for i, query in enumerate(asked):
+        assert rows.get(i, []) == [(r["score"], r["file"], r["heading_path"]) for r in search(sections, query).collect()]
+    assert search_many(sections, spark.createDataFrame([], "query_id int, query string")).count() == 0
+
+
 def test_stream(spark, tmp_path):
+    """A version may come in several files; it is told once a later one has come, also after a restart."""
     from inkgraph.streaming.reindex import stream_changes
 
-    folder = tmp_path / "in"
-    schema = "file string, text string"
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
     told = []
-    query = None
-    for i, rows in enumerate([[("a.md", "# A\nx")], [("a.md", "# A\ny"), ("b.md", "# B")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
-        if query is None:
-            tell = lambda files, sections, n: told.append((sorted(map(tuple, files.collect())), sorted(map(tuple, sections.collect()))))
-            query = stream_changes(spark, str(folder), str(tmp_path / "cp"), tell)
-        query.processAllAvailable()
-        assert len(told) == i + 1
+    tell = lambda files, sections, version: told.append((version, sorted(map(tuple, files.collect())), sorted(map(tuple, sections.collect()))))
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "version long, file string, text string").repartition(2).write.mode("append").parquet(folder)
+
+    arrive((1, "a.md", "# A\nx"), (1, "plain.md", ""))
+    query = stream_changes(spark, folder, store, tell)
+    query.processAllAvailable()
+    assert told == []
+    arrive((2, "a.md", "# A\ny"))
+    query.processAllAvailable()
+    assert told == [(1, [("added", "a.md"), ("added", "plain.md")], [])]
+    query.stop()
+    arrive((2, "b.md", "# B"), (2, "plain.md", ""))
+    query = stream_changes(spark, folder, store, tell)
+    query.processAllAvailable()
+    assert len(told) == 1
+    arrive((3, "b.md", "# B"))
+    query.processAllAvailable()
+    arrive((4, "b.md", "# B"))
+    query.processAllAvailable()
     query.stop()
-    assert told == [([("added", "a.md")], []), ([("added", "b.md")], [("a.md", "modified", "A")])]
+    assert told[1:] == [(2, [("added", "b.md")], [("a.md", "modified", "A")]), (3, [("removed", "a.md"), ("removed", "plain.md")], [])]
 
 
 def test_cli(spark, folder, monkeypatch, capsys):
@@ -244,8 +276,8 @@ def test_cli(spark, folder, monkeypatch, capsys):
     call = lambda i, name, **a: {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": a}}
     asked = [
         {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2025-03-26"}}, {"jsonrpc": "2.0", "method": "notifications/initialized"},
-        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, call(3, "search", query="Gun"), call(4, "get_section", file="player.md", heading_path="No"),
-        call(5, "outline", file="lore/armor.md"), call(6, "backlinks", file="lore/weapons.md"), call(7, "reindex_vault"), call(8, "x"), call(9, "outline"),
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, call(3, "search", query="Sowing"), call(4, "get_section", file="herbs.md", heading_path="No"),
+        call(5, "outline", file="beds/water.md"), call(6, "backlinks", file="beds/soil.md"), call(7, "reindex_vault"), call(8, "x"), call(9, "outline"),
         {"jsonrpc": "2.0", "id": 10, "method": "nope"},
     ]
     monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(map(json.dumps, asked)) + "\n{\n"))
@@ -253,7 +285,10 @@ def test_cli(spark, folder, monkeypatch, capsys):
     said = {m["id"]: m for m in map(json.loads, capsys.readouterr().out.splitlines())}
     assert len(said) == 11 and said[1]["result"]["protocolVersion"] == "2025-03-26" and len(said[2]["result"]["tools"]) == 6
     got = {i: json.loads(said[i]["result"]["content"][0]["text"]) for i in range(3, 10)}
-    assert got[3]["results"][0]["score"] == 30000 and got[3]["results"][0]["provenance"]["byte_range"] == {"start": 58, "end": 91}
+    first, own = got[3]["results"][0], "## Sowing\nIn spring, under glass."
+    assert first["score"] == 30000 and first["provenance"]["byte_range"] == {"start": HERBS.index(own), "end": HERBS.index(own) + len(own)}
+    assert first["provenance"]["content_hash"] == blake3_hex(own.encode())
     assert got[4]["suggestions"] and said[4]["result"]["isError"] and said[8]["result"]["isError"] and said[9]["result"]["isError"]
-    assert [c["heading_path"] for c in got[5]["sections"][0]["children"]] == ["Armor > Gun Skill", "Armor > Gun Skill[2]"]
+    assert [c["heading_path"] for c in got[5]["sections"][0]["children"]] == ["Water > Timing", "Water > Timing[2]"]
+    assert got[5]["sections"][0]["line_range"] == {"start": 1, "end": 7}
     assert len(got[6]["backlinks"]) == 2 and got[7]["files_added"] == [] and "error" in said[10] and said[None]["error"]["code"] == -32700
