@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pandas as pd
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from inkgraph.llm.shared import bound_batches, tidy, with_struct
 
 MARK = "▁"
-#: Distinct chunks that a task remembers.
-REMEMBERED = 300_000
+#: Characters of distinct chunks that a task remembers, and texts that are cut into chunks at once.
+REMEMBERED, TEXTS = 1_000_000, 64
 _CHUNK = re.compile(r" +[^ ]*")
 #: All that usual normalisations change: characters with another compatibility or lower-case form, blanks at both ends.
 _CHANGEABLE = " a  \t\r\n" + "".join(c for c in map(chr, range(0xA0, 0xD800)) if unicodedata.normalize("NFKC", c) != c or c.lower() != c) + "e\u0301 A "
@@ -42,30 +42,39 @@ class Codec:
         self.mark, self.end = self.model.piece_to_id(MARK), self.model.eos_id()
         if self.model.encode("a  ① ", out_type=str)[:2] != [MARK + "a", MARK * 2] or self.model.decode(self.model.encode(_CHANGEABLE)) != _CHANGEABLE:
             raise ValueError("this model normalises text")
-        self.table: dict[str, tuple[list[int], str]] = {}
+        self.table: dict[str, tuple[list[int], str] | int] = {}
+        self.held = 0
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str], kept: Callable[[list[int]], tuple[list[int], str] | int]) -> None:
+        """Segment the chunks that the table hasn't; ``kept`` of its ids is what it holds for each."""
         fresh = [c for c in chunks if c not in self.table]
-        if len(self.table) + len(fresh) > REMEMBERED:
+        if self.held + sum(map(len, fresh)) > REMEMBERED:
             self.table.clear()
-            fresh = list(chunks)
+            self.held, fresh = 0, list(chunks)
+        self.held += sum(map(len, fresh))
         # The library puts a marker before what it is given, in place of the chunk's first space.
         for chunk, ids in zip(fresh, self.model.encode([c[1:] for c in fresh], num_threads=1), strict=True):
-            ids = ids if chunk != " " else [self.mark]
-            self.table[chunk] = ids, " ".join(map(str, ids))
+            self.table[chunk] = kept(ids if chunk != " " else [self.mark])
 
     @staticmethod
     def chunks(text: str | None) -> list[str]:
         return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
-    def rows(self, texts: list[str | None], width: int = 256) -> Iterator[list[tuple[list[int], str]]]:
-        """The chunks of each text as (ids, ids in decimal)."""
-        for start in range(0, len(texts), width):
-            split = [self.chunks(t) for t in texts[start : start + width]]
-            self._learn(set(chain.from_iterable(split)))
+    def _looked_up(self, texts: list[str | None], kept: Callable) -> Iterator[list]:
+        for start in range(0, len(texts), TEXTS):
+            split = [self.chunks(t) for t in texts[start : start + TEXTS]]
+            self._learn(set(chain.from_iterable(split)), kept)
             for own in split:
                 yield [self.table[c] for c in own]
 
+    def rows(self, texts: list[str | None]) -> Iterator[list[tuple[list[int], str]]]:
+        """The chunks of each text as (ids, ids in decimal)."""
+        return self._looked_up(texts, lambda ids: (ids, " ".join(map(str, ids))))
+
+    def lengths(self, texts: list[str | None]) -> Iterator[int]:
+        """Number of ids of each text, with the end id. A codec that counts holds numbers alone."""
+        return (1 + sum(row) for row in self._looked_up(texts, len))
+
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text, with the end id; a null text is an empty one."""
         for row in self.rows(texts):
@@ -132,7 +141,7 @@ def with_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(path)
         for texts in batches:
-            yield pd.Series([1 + sum(len(ids) for ids, _ in row) for row in codec.rows(list(texts))], dtype="int64")
+            yield pd.Series(list(codec.lengths(list(texts))), dtype="int64")
         codec.table.clear()
         tidy()
 
