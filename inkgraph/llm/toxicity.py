@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained, each of two parts. The larger part is the same in both: ordinary text, chosen
 by the library's own trainer. Before it stand windows of toxic rows, which the ordinary dictionary has without the
-words that ordinary rows lack. Each window of a text, some words in a row, is compressed under both; what the toxic
-dictionary saves on it tells how much of the window toxic rows have that ordinary ones have not. A text's score comes from the savings of all its windows,
+words that ordinary rows lack. Windows of a text, some words in a row, are compressed under both; what the toxic
+dictionary saves on one tells how much of it toxic rows have that ordinary ones have not. Long windows, which cover the
+whole text, come first, and short ones within those that save. A text's score comes from the savings of all its windows,
 by a logistic curve that is fitted on labelled rows that no dictionary has.
 """
 
@@ -29,11 +30,11 @@ from inkgraph.llm.zstd import compressor
 THRESHOLD = 0.3
 #: Labelled rows of each class that are learned from, the whole text of each, and parts of which each is measured with
 #: a dictionary from the others.
-ROWS_PER_CLASS, FOLDS = 6000, 3
-#: Words of a window, and words from one window to the next.
-WINDOW, STEP = 4, 3
+ROWS_PER_CLASS, FOLDS = 3000, 3
+#: Words of long and of short windows, each of which starts with the last word of the one before.
+LONG, SHORT = 24, 4
 #: Bytes of the common part, pieces of ordinary rows that it is trained on, and words of such a piece.
-ORDINARY_BYTES, PIECES, PIECE_WORDS = 128 << 10, 16_384, 64
+ORDINARY_BYTES, PIECES, PIECE_WORDS = 64 << 10, 16_384, 64
 #: Settings of the library's trainer.
 SEGMENT, OVERLAP = 32, 6
 #: Bytes of toxic windows.
@@ -45,21 +46,24 @@ MIN_ROWS, MIN_LOG_ODDS = 3, 2.7
 #: Lazy parsing over binary trees, which find what is far: the optimal parser weighs costs that differ between
 #: dictionaries also where neither has a match.
 LEVEL = 12
-SETTINGS = {"strategy": 6, "window_log": 19, "chain_log": 19, "hash_log": 18, "search_log": 9, "min_match": 4, "target_length": 64}
+SETTINGS = {"strategy": 6, "window_log": 18, "chain_log": 18, "hash_log": 16, "search_log": 9, "min_match": 4, "target_length": 64}
 #: Stands around each window and at the end of both dictionaries, in bytes that no word has, so that every frame compresses.
 FRAME = b"\x01\x02\x03\x04\x05\x06\x07\x08"
 #: Windows that save fewer bytes, and as many bytes, as clear ones do.
 SOME, CLEAR = 2, 6
 #: Windows added to a text's own where savings are shared out over them.
-SHORT = 20
+MORE = 20
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("saved", T.IntegerType())])
 
 
-def windows(text: str | None) -> list[bytes]:
-    """All windows of the whole text, each WINDOW words with a space around; the last may be shorter."""
-    own = letters(text).split()
-    return [f" {' '.join(own[i : i + WINDOW])} ".encode("utf-8", "surrogatepass") for i in range(0, max(1, len(own) - WINDOW + STEP), STEP)] if own else []
+def windows(words: list[bytes], width: int) -> list[list[bytes]]:
+    """Windows of ``width`` of the words, all of which are in one; the last may be shorter."""
+    return [words[i : i + width] for i in range(0, max(1, len(words) - 1), width - 1)] if words else []
+
+
+def encoded(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
 
 
 def fragments(words: Iterable[str]) -> set[str]:
@@ -78,18 +82,23 @@ class Distance:
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = compressor(toxic, LEVEL, **SETTINGS), compressor(ordinary, LEVEL, **SETTINGS)
 
-    def saved(self, text: str | None) -> np.ndarray:
-        """Bytes saved on each window."""
+    def saved(self, words: list[bytes]) -> list[int]:
+        """Bytes saved on each short window within the long ones that save."""
         toxic, ordinary = self.toxic.compress, self.ordinary.compress
-        framed = [FRAME + w + FRAME for w in windows(text)]
-        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in framed), np.int64, len(framed))
-
+        out = []
+        for long in windows(words, LONG):
+            if len(ordinary(framed := FRAME + encoded(long) + FRAME)) > len(toxic(framed)):
+                out += [len(ordinary(framed := FRAME + encoded(w) + FRAME)) - len(toxic(framed)) for w in windows(long, SHORT)]
+        return out
 
-def features(saved: np.ndarray) -> list[float]:
-    """What the score is made of: the best three windows, the number of windows that save, and all savings."""
-    n, best = len(saved) + SHORT, np.sort(np.append(np.maximum(saved, 0), (0, 0, 0)))[::-1]
-    some, clear, total = int((best >= SOME).sum()), int((best >= CLEAR).sum()), int(best.sum())
-    return [float(best[0]), float(best[1]), float(best[2]), some / n, some / n**0.5, clear / n**0.5, total / n, total / n**0.5]
+    def features(self, text: str | None) -> list[float]:
+        """What the score is made of: the best three windows, the number of windows that save, and all savings, the
+        latter by the length of the text."""
+        words = letters(text).encode("utf-8", "surrogatepass").split()
+        n = len(words) / (SHORT - 1) + MORE
+        best = [*sorted((s for s in self.saved(words) if s > 0), reverse=True), 0, 0, 0]
+        some, clear, total = sum(s >= SOME for s in best), sum(s >= CLEAR for s in best), sum(best)
+        return [float(best[0]), float(best[1]), float(best[2]), some / n, some / n**0.5, clear / n**0.5, total / n, total / n**0.5]
 
 
 FEATURES = 8
@@ -258,7 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = set()
             for batch in batches:
                 for text in batch["_t"]:
-                    found.update(w for w in windows(text) if not weights.keys().isdisjoint(fragments(w.decode("utf-8", "surrogatepass").split())))
+                    own = letters(text).split()
+                    weighty = {w for w in set(own) if not weights.keys().isdisjoint(fragments([w]))}
+                    if weighty:
+                        split = windows([w.encode("utf-8", "surrogatepass") for w in own], SHORT)
+                        found.update(encoded(w) for k, w in enumerate(split) if not weighty.isdisjoint(own[k * (SHORT - 1) : k * (SHORT - 1) + SHORT]))
             yield pd.DataFrame({"window": cover(found, weights, TOXIC_BYTES)}, dtype=object)
 
         own = rows.where("_y = 1" if without is None else f"_y = 1 AND _fold <> {without}").select("_t")
@@ -272,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             distance = Distance(toxic, ordinary)
             for batch in batches:
-                yield pd.DataFrame({"y": batch["_y"].astype(int), "f": [features(distance.saved(t)) for t in batch["_t"]]})
+                yield pd.DataFrame({"y": batch["_y"].astype(int), "f": [distance.features(t) for t in batch["_t"]]})
 
         return [(r["y"], list(r["f"])) for r in rows.where(f"_fold = {part}").mapInPandas(measure, "y int, f array<double>").collect()]
 
@@ -294,7 +307,8 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     def sign(texts: pd.Series) -> pd.Series:
         return pd.Series([signature(t) for t in texts], dtype=object)
 
-    each = sample.select("_i", sign("_t").alias("s")).select("_i", F.posexplode("s").alias("k", "s"))
+    # else the filter that Spark infers from the explode would sign every text a second time
+    each = sample.select("_i", sign.asNondeterministic()("_t").alias("s")).select("_i", F.posexplode("s").alias("k", "s"))
     least = each.groupBy("k", "s").agg(F.min("_i").alias("_i"))
     return least.groupBy("_i").agg(F.countDistinct("k").alias("n")).where("n = 4").select("_i")
 
@@ -316,7 +330,7 @@ def predict(model: Model, text: Column, threshold: float = THRESHOLD) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         distance = Distance(model.toxic, model.ordinary)
         for texts in batches:
-            rows = [features(distance.saved(t)) for t in texts]
+            rows = [distance.features(t) for t in texts]
             score = model.scores(rows)
             yield pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(np.int32), "saved": np.array([r[0] for r in rows], np.int32)})
         del distance
