@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.shared import discard, materialize
+from inkgraph.llm.shared import discard, join_hot, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -16,8 +16,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b; any orderable type); component: smallest node.
 
     Each round links the larger neighbours of every node to its smallest one (large star), then the smaller ones
-    (small star). Every aggregate combines before its shuffle, so a hub's neighbours are never gathered; rounds grow
-    with the logarithm of the longest chain. Null ends and loops are ignored; no edges give no rows.
+    (small star). Aggregates combine before their shuffle, and the edges of a node of many meet its smallest neighbour
+    by broadcast, so that no task gathers a hub's neighbours; rounds grow with the logarithm of the longest chain. Null
+    ends and loops are ignored; no edges give no rows.
     """
     current = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -25,14 +26,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _signature(current)
     while seen[0]:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        least = materialize(least, "least")
+        large = join_hot(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        discard(least)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         fresh = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        discard(current)
-        discard(large)
+        for done in (current, large, least):
+            discard(done)
         current, before = fresh, seen
         seen = _signature(current)
         if seen == before:

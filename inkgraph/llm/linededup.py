@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import io
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkgraph.llm.shared import delete_path, materialize, open_filesystem, scratch_path
+from inkgraph.llm.shared import bound_batches, discard, fresh, materialize, open_filesystem, scratch_path, tidy
 
 SPACE = " \t\n\x0b\x0c\r"
-#: Line hashes in a shard of the index, and the bytes of shards that a task keeps in memory.
+#: Line hashes in a shard of the index; a task holds one shard at a time.
 SHARD_KEYS = 500_000
-CACHE_BYTES = 64 << 20
 #: Bits per key on each level of the hash.
 GAMMA = 2.0
 
@@ -74,16 +73,22 @@ class PerfectHash:
 
 
 def pack_shard(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, keeper: np.ndarray) -> bytes:
-    """Perfect hash of h1 with arrays of fingerprints (h2), document counts and keepers, in the order of its numbers."""
+    """Perfect hash of h1 with arrays of fingerprints (h2), document counts and keepers, in the order of its numbers.
+    Of keys with one h1 the first is there; the others, which are few, follow in arrays of their own."""
+    order = np.lexsort((h2, h1))
+    h1, h2, count, keeper = h1[order], h2[order], count.astype(np.int64)[order], keeper[order]
+    again = np.concatenate(([False], h1[1:] == h1[:-1])) if len(h1) else np.zeros(0, bool)
+    more = {"more_h1": h1[again], "more_h2": h2[again], "more_count": count[again], "more_keeper": keeper[again]}
+    h1, h2, count, keeper = h1[~again], h2[~again], count[~again], keeper[~again]
     mph = PerfectHash.build(h1)
     place = mph.lookup(h1)
     arrays = {}
-    for name, values in (("fingerprint", h2), ("count", count.astype(np.int64)), ("keeper", keeper)):
+    for name, values in (("fingerprint", h2), ("count", count), ("keeper", keeper)):
         arrays[name] = np.empty(len(h1), values.dtype)
         arrays[name][place] = values
     packed = {f"level{i}": np.packbits(bits) for i, bits in enumerate(mph.levels)}
     out = io.BytesIO()
-    np.savez(out, widths=np.array([len(b) for b in mph.levels], np.int64), **arrays, **packed)
+    np.savez(out, widths=np.array([len(b) for b in mph.levels], np.int64), **arrays, **more, **packed)
     return out.getvalue()
 
 
@@ -93,7 +98,7 @@ class Shard:
             widths = stored["widths"]
             self.mph = PerfectHash([np.unpackbits(stored[f"level{i}"], count=int(w)) for i, w in enumerate(widths)])
             self.fingerprint, self.count, self.keeper = stored["fingerprint"], stored["count"], stored["keeper"]
-        self.bytes = 9 * int(widths.sum()) + 24 * len(self.keeper)
+            self.more = [stored[f"more_{name}"] for name in ("h1", "h2", "count", "keeper")]
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document count, keeper); a count of 0 for lines that aren't in the index."""
@@ -102,11 +107,18 @@ class Shard:
         found = number >= 0
         count, keeper = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
         count[found], keeper[found] = self.count[number[found]], self.keeper[number[found]]
+        for a, b, n, k in zip(*self.more, strict=True):
+            same = (h1 == a) & (h2 == b)
+            count[same], keeper[same] = n, k
         return count, keeper
 
 
+#: Names a line key in 16 bytes.
+digest = xxhash.xxh3_128_digest
+
+
 def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), "<u8").reshape(-1, 2)
+    both = np.frombuffer(b"".join(map(digest, keys)), "<u8").reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy()
 
 
@@ -126,8 +138,6 @@ class LineIndex:
             for batch in batches:
                 ids, keys = [], []
                 for doc, text in zip(batch["_i"], batch["_t"], strict=True):
-                    if text is None or doc is None or pd.isna(doc):
-                        continue
                     own = {line_key(line) for line in text.split("\n") if len(line) >= min_chars and len(line.strip(SPACE)) >= min_chars}
                     keys += own
                     ids += [doc] * len(own)
@@ -135,14 +145,14 @@ class LineIndex:
                 yield pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "doc": np.array(ids, np.int64)})
 
         spark = docs.sparkSession
-        lines = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t"))
+        # an id beside a null would come as a float
+        lines = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).where("_i IS NOT NULL AND _t IS NOT NULL")
         lines = lines.mapInPandas(run, "h1 long, h2 long, doc long")
         known = lines.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("count"), F.max("doc").alias("keeper"))
         known = materialize(known.where(F.col("count") >= min_docs), "line-counts")
         shards = max(1, -(-known.count() // SHARD_KEYS))
 
         def build(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.drop_duplicates("h1")
             data = pack_shard(rows["h1"].to_numpy().view(np.uint64), rows["h2"].to_numpy().view(np.uint64), rows["count"].to_numpy(), rows["keeper"].to_numpy())
             return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "data": [data]})
 
@@ -152,45 +162,32 @@ class LineIndex:
         shard = ((F.shiftrightunsigned("h1", 1) % modulus) * 2 + F.col("h1").bitwiseAND(1)) % modulus
         dealt = known.withColumn("shard", shard.cast("int"))
         dealt.groupBy("shard").applyInPandas(build, "shard int, data binary").write.partitionBy("shard").parquet(path)
+        discard(known)
         return cls(path, shards)
 
-    def delete(self, spark) -> None:
-        delete_path(spark, self.path)
-
-
-class _Prober:
-    """On an executor: probes shard by shard; at most CACHE_BYTES of shards stay in memory."""
-
-    def __init__(self, index: LineIndex):
-        self.index, self.held, self.bytes = index, OrderedDict(), 0
-        self.fs, self.root = open_filesystem(index.path)
 
-    def shard(self, number: int) -> Shard | None:
-        if number in self.held:
-            self.held.move_to_end(number)
-            return self.held[number]
+    def shard(self, fs, root: str, number: int) -> Shard | None:
         import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        files = self.fs.get_file_info(fs.FileSelector(f"{self.root}/shard={number}", allow_not_found=True))
-        names = [f.path for f in files if f.path.endswith(".parquet")]
-        found = None
-        for name in names:
-            with self.fs.open_input_file(name) as file:
-                found = Shard(pq.ParquetFile(file).read(["data"])["data"][0].as_py())
-        self.held[number] = found
-        self.bytes += found.bytes if found else 0
-        while self.bytes > CACHE_BYTES and len(self.held) > 1:
-            _, old = self.held.popitem(last=False)
-            self.bytes -= old.bytes if old else 0
-        return found
+        from pyarrow.fs import FileSelector
 
-    def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for info in fs.get_file_info(FileSelector(f"{root}/shard={number}", allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with fs.open_input_file(info.path) as file:
+                    return Shard(pq.ParquetFile(file).read(["data"])["data"][0].as_py())
+        return None
+
+    def probe(self, h1: np.ndarray, h2: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """On an executor: (document count, keeper) of each line. Every shard that has to be read is read once, and held
+        alone, beginning with ``first``, so that tasks don't all ask for the same."""
         count, keeper = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
-        where = h1 % np.uint64(self.index.shards)
-        for number in np.unique(where):
-            part = where == number
-            if shard := self.shard(int(number)):
+        where = (h1 % np.uint64(self.shards)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        numbers, starts = np.unique(where[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        fs, root = open_filesystem(self.path)
+        for turn in np.roll(np.arange(len(numbers)), -first % max(1, len(numbers))):
+            part = order[starts[turn] : ends[turn]]
+            if shard := self.shard(fs, root, int(numbers[turn])):
                 count[part], keeper[part] = shard.probe(h1[part], h2[part])
         return count, keeper
 
@@ -204,30 +201,64 @@ def dedup_lines(
     more goes everywhere but in the largest id that holds it, where all its copies stay. Null and empty texts are one
     empty line, and their text is then empty. A row without an id counts as no document, and keeps no line that
     others repeat. Other columns pass through; an own n_lines or n_dropped is replaced. An empty table gives none.
+
+    Of a task's texts only the hashes of long lines are held at once, to probe the index; what stays is told as a flag
+    for each line, and Spark, which keeps a task's rows meanwhile, takes the lines out.
     """
+    bound_batches(docs.sparkSession)
     index = LineIndex.build(docs, id_col, text_col, min_chars, min_docs)
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        prober = _Prober(index)
-        for ids, texts in batches:
-            split = [(text or "").split("\n") for text in texts]
-            owner, number, keys = [], [], []
-            for i, lines in enumerate(split):
-                for k, line in enumerate(lines):
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def stays(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        widths, named, ids, owner, number, hashed = [], [], [], [], [], []
+        sizes = []
+        for own, known, texts in batches:
+            base, keys = sum(map(len, widths)), []
+            rows, lines = [], []
+            counts = np.zeros(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                split = text.split("\n")
+                counts[i] = len(split)
+                for k, line in enumerate(split):
                     if len(line) >= min_chars and len(line.strip(SPACE)) >= min_chars:
-                        owner.append(i)
-                        number.append(k)
+                        rows.append(base + i)
+                        lines.append(k)
                         keys.append(line_key(line))
-            count, keeper = prober.probe(*_hashes(keys))
-            own = pd.to_numeric(ids).fillna(0).to_numpy(np.int64)[owner] if owner else np.zeros(0, np.int64)
-            missing = ids.isna().to_numpy()[owner] if owner else np.zeros(0, bool)
-            drop: dict[int, set[int]] = {}
-            for i in np.flatnonzero((count >= min_docs) & ((keeper != own) | missing)):
-                drop.setdefault(owner[i], set()).add(number[i])
-            kept = ["\n".join(x for k, x in enumerate(lines) if k not in drop[i]) if i in drop else "\n".join(lines) for i, lines in enumerate(split)]
-            yield pd.DataFrame({"text": kept, "n_lines": [len(x) for x in split], "n_dropped": [len(drop.get(i, ())) for i in range(len(split))]})
-
-    out = docs.withColumn("_lines", run(F.col(id_col).cast("long"), F.col(text_col)))
-    return out.withColumns({text_col: F.col("_lines.text"), "n_lines": F.col("_lines.n_lines"), "n_dropped": F.col("_lines.n_dropped")}).drop("_lines")
+            sizes.append(len(texts))
+            widths.append(counts)
+            named.append(known.to_numpy(bool))
+            ids.append(own.to_numpy(np.int64))
+            owner.append(np.array(rows, np.int64))
+            number.append(np.array(lines, np.int32))
+            hashed.append(_hashes(keys))
+        if not sizes:
+            return
+        whole = lambda parts: np.concatenate(parts)
+        owner, number, ids, named, widths = map(whole, (owner, number, ids, named, widths))
+        context = TaskContext.get()
+        count, keeper = index.probe(whole([a for a, _ in hashed]), whole([b for _, b in hashed]), context.partitionId() if context else 0)
+        del hashed
+        gone = np.flatnonzero((count >= min_docs) & ((keeper != ids[owner]) | ~named[owner]))
+        owner, number = owner[gone], number[gone]
+        start = 0
+        for size in sizes:
+            low, high = np.searchsorted(owner, (start, start + size))
+            out: list = [None] * size
+            for at in range(low, high):
+                i = int(owner[at]) - start
+                if out[i] is None:
+                    out[i] = np.ones(widths[start + i], bool)
+                out[i][number[at]] = False
+            yield pd.Series(out, dtype=object)
+            start += size
+        tidy()
+
+    own = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = fresh(docs, "_stays")
+    out = docs.withColumn(name, stays(F.coalesce(own, F.lit(0)), own.isNotNull(), text))
+    flags, lines = F.col(name), F.split(text, "\n")
+    # joining leaves nulls out
+    kept = F.array_join(F.zip_with(lines, flags, lambda line, stay: F.when(stay, line)), "\n")
+    dropped = F.when(flags.isNull(), 0).otherwise(F.size(F.filter(flags, lambda stay: ~stay)))
+    return out.withColumns({text_col: F.when(flags.isNull(), text).otherwise(kept), "n_lines": F.size(lines).cast("long"), "n_dropped": dropped.cast("long")}).drop(name)

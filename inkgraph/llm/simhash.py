@@ -15,9 +15,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgraph.llm.components import connected_components
-from inkgraph.llm.shared import materialize, text_key
+from inkgraph.llm.shared import bound_batches, discard, join_hot, materialize, text_key, tidy
 
 BITS = 64
 BLOCK = 16
@@ -48,17 +49,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row; fp: the 64 bits as a signed long. keyed: with key, which tells texts from each other."""
-    more = [text_key(F.col(text_col)).alias("key")] if keyed else []
+    """(doc_id, fp) for every row; fp: the 64 bits as a signed long. keyed: with key, which tells texts from each other.
+    Ids don't pass through Python, where nulls among them would make them floats."""
+    bound_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in batch["_t"]), np.uint64, len(batch))
-            own = {"key": batch["key"]} if keyed else {}
-            yield pd.DataFrame({"doc_id": batch["_i"].astype("Int64"), "fp": fps.view(np.int64), **own})
+    @F.pandas_udf(T.LongType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
+        tidy()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t"), *more)
-    return rows.mapInPandas(run, "doc_id long, fp long" + ", key long" * keyed)
+    more = [text_key(F.col(text_col)).alias("key")] if keyed else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col)).alias("fp"), *more)
 
 
 def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,12 +214,13 @@ def near_duplicates(
     whatever their names, are not looked at.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, keyed), "simhash")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     parts = connected_components(trie_links(reps, budget))
     named = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = materialize(named.join(names, "component").select("fp", "component_id"), "simhash-components")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id", *["key"] * keyed)
+    names = materialize(named.join(names, "component").select("fp", "component_id", "n"), "simhash-components")
+    discard(reps)
+    return join_hot(fps, names, "fp").select("doc_id", "fp", "component_id", *["key"] * keyed)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgraph.llm.shared import materialize, open_filesystem, scratch_path
+from inkgraph.llm.shared import bound_batches, discard, join_hot, materialize, open_filesystem, scratch_path, tidy
 
 MAGIC = b"WARC/1.1\r\n"
 #: Bytes of an archive that one task reads, and pages' payloads below which no revisit is written.
@@ -30,7 +30,7 @@ _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(kind: str, page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """Bytes of one record; a revisit has no payload, but its length and digest."""
     block = _HTTP + (payload if kind == "response" else b"")
     fields = [
@@ -57,34 +57,35 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     name, and only files that finished tasks name are read, so lost executors leave nothing half-written behind.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     copies = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    copies = materialize(copies.where("n > 1 AND first IS NOT NULL").drop("n"), "copies")
-    rows = rows.join(copies, "digest", "left")
+    copies = materialize(copies.where("n > 1 AND first IS NOT NULL"), "copies")
+    rows = join_hot(rows, copies, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(again, F.col("first")).alias("refers_to"))
+    # ids in decimal: as numbers beside nulls they would come as floats
+    rows = rows.select(F.col("page_id").cast("string"), "url", "payload", "digest", F.when(again, F.col("first")).cast("string").alias("refers_to"))
     folder = scratch_path(spark, "warc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = open_filesystem(folder)
         out = name = None
         size = 0
-        none = lambda v: None if pd.isna(v) else int(v)
         for batch in batches:
-            for page, url, data, digest, first in batch.astype({"page_id": "Int64", "refers_to": "Int64"}).itertuples(index=False, name=None):
+            for page, url, data, digest, first in batch.itertuples(index=False, name=None):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc"
                     out = fs.open_output_stream(f"{root}/{name}")
-                first = none(first)
-                data = record("response" if first is None else "revisit", none(page), url, bytes(data), digest, first)
+                data = record("response" if first is None else "revisit", page, url, bytes(data), digest, first)
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
             yield pd.DataFrame({"file": [f"{folder}/{name}"], "bytes": [size]})
+        tidy()
 
     return materialize(rows.mapInPandas(run, "file string, bytes long"), "archives")
 
@@ -160,9 +161,13 @@ def entries(found: DataFrame, rounds: int) -> DataFrame:
     starts = found.where("off = 0").select("file", "off")
     reached = materialize(starts, "reached")
     for _ in range(rounds):
-        reached = materialize(reached.union(reached.join(jump, ["file", "off"]).select("file", F.col("exit").alias("off"))).distinct(), "reached")
+        further = materialize(reached.union(reached.join(jump, ["file", "off"]).select("file", F.col("exit").alias("off"))).distinct(), "reached")
         then = jump.select("file", F.col("off").alias("exit"), F.col("exit").alias("then"))
-        jump = materialize(jump.join(then, ["file", "exit"]).select("file", "off", F.col("then").alias("exit")), "jumps")
+        double = materialize(jump.join(then, ["file", "exit"]).select("file", "off", F.col("then").alias("exit")), "jumps")
+        discard(reached)
+        discard(jump)
+        reached, jump = further, double
+    discard(jump)
     return reached
 
 
@@ -178,6 +183,7 @@ def read(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     splits = materialize(splits.repartition(min(tasks, 100_000), "file", "part"), "splits")
     found = materialize(candidates(splits), "candidates")
     at = entries(found, math.ceil(math.log2(most / split + 1)) + 1 if most > split else 1)
+    discard(found)
     known = at.withColumn("part", F.floor(F.col("off") / split)).join(splits, ["file", "part"])
     known = known.select("file", "off", "end", "bytes").repartition(min(tasks, 100_000), "file", "off")
 
@@ -203,12 +209,11 @@ def read(archives: DataFrame, split: int = SPLIT) -> DataFrame:
                             if hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{file} at {off}: the payload differs from its digest")
                         refers = fields.get("WARC-Refers-To")
-                        rows.append((None if page == "null" else int(page), length, digest, kind, int(refers[10:-1]) if refers else None, fields["WARC-Target-URI"]))
+                        rows.append((None if page == "null" else page, length, digest, kind, refers[10:-1] if refers else None, fields["WARC-Target-URI"]))
                         off = after
-                if not rows:
-                    continue
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                if rows:
+                    yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+        tidy()
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return known.mapInPandas(run, schema)
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
+    return known.mapInPandas(run, schema).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})

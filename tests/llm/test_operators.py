@@ -2,25 +2,39 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import zlib
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
+import regex
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from inkgraph.llm import ann, hosts, langid, linededup, minhash, nearsets, packing, pieces, simhash, toxicity, warc
 from inkgraph.llm.components import connected_components
 from inkgraph.llm.shared import fold, hashed_sample
+from inkgraph.llm.words import letters
 
 DOCS = "doc_id long, text string"
 #: Extra columns under names that operators use themselves.
-CLASH = "doc_id long, text string, fp long, component string, n_lines string, score string, lang_pred string, _lid int, n_tokens string, bin_id int, fingerprint string, next_text string"
+CLASH = "doc_id long, text string, fp long, component string, n_lines string, score string, lang_pred string, _lid int, n_tokens string, bin_id int, fingerprint string, next_text string, _struct int, _stays int, _lines int, _rt int, _tox int"
 
 
 def clash(spark, rows):
-    return spark.createDataFrame([(*r, 1, "c", "x", "s", "l", 2, "3", 4, "f", "n") for r in rows], CLASH)
+    return spark.createDataFrame([(*r, 1, "c", "x", "s", "l", 2, "3", 4, "f", "n", 5, 6, 7, 8, 9) for r in rows], CLASH)
+
+
+def kept(found, replaced=()):
+    """Whether every extra column but those that are ``replaced`` is as it was."""
+    want = {"fp": 1, "component": "c", "n_lines": "x", "score": "s", "lang_pred": "l", "_lid": 2, "n_tokens": "3", "bin_id": 4, "fingerprint": "f", "next_text": "n", "_struct": 5, "_stays": 6, "_lines": 7, "_rt": 8, "_tox": 9}
+    return all(r[c] == v for r in found.collect() for c, v in want.items() if c not in replaced)
+
+
+#: Ids that a float can't hold, beside a null.
+LARGE = 2**53 + 1
 
 
 def words(n, seed, vocabulary=500):
@@ -114,6 +128,27 @@ def test_simhash_keeps_a_row_of_each_group_of_repeated_ids(spark):
     assert sorted(map(tuple, kept)) == [(3, a), (5, b)]
 
 
+def test_simhash_components_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(None, words(5, 0, 9)), (LARGE, words(5, 0, 9)), (LARGE + 1, None), (LARGE + 2, " ")]
+    for k in range(30):
+        own = words(80, k).split()
+        rows.append((10 * k, " ".join(own)))
+        for n in range(1, 4):
+            own[rng.randrange(80)] = "other"
+            rows.append((10 * k + n, " ".join(own)))
+    fps = [brute_fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {g: min(r[0] for r, own in zip(rows, group, strict=True) if own == g and r[0] is not None) for g in set(group)}
+    want = [(r[0], f, least[g]) for r, f, g in zip(rows, fps, group, strict=True)]
+    found = [(r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(clash(spark, rows)).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert len(set(least.values())) < len(rows) - 20
+
+
 # ---- near-duplicates by shingle sets
 
 
@@ -146,6 +181,7 @@ def test_near_sets_match_brute_force(spark, monkeypatch, hub):
             for at in rng.sample(range(200), rng.randrange(1, 8)):
                 own[at] = f"new{rng.random()}"
             rows.append((100 + 10 * k + n, " ".join(own)))
+    rows += [(LARGE, words(90, 902)), (LARGE + 1, words(90, 902)), (LARGE + 2, words(90, 903))]
     rows += [(7001, words(90, 900)), (7002, words(90, 900)), (7002, words(90, 901)), (7003, words(90, 901)), (None, words(90, 900))]
     found = nearsets.keep_one(clash(spark, rows))
     assert set(found.columns) == set(clash(spark, rows).columns)
@@ -179,8 +215,10 @@ def test_lines_match_brute_force(spark):
     pool = [f"shared line number {i} of many É" for i in range(30)] + ["short", "", "  \t padded shared line of text \x0b"]
     rows = [(i, "\n".join(rng.choice(pool).upper() if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (None, pool[0]), (7, rows[7][1]), (102, "x" * 50_000 + "\n" + pool[1])]
-    found = linededup.dedup_lines(clash(spark, rows)).select("doc_id", "text", "n_lines", "n_dropped").collect()
-    assert sorted(map(tuple, found), key=repr) == sorted(brute_lines(rows), key=repr)
+    rows += [(LARGE + k, "a line of documents with large ids\n\nown") for k in range(3)]
+    found = linededup.dedup_lines(clash(spark, rows))
+    assert kept(found, {"n_lines"}) and set(found.columns) == {*clash(spark, []).columns, "n_dropped"}
+    assert sorted(map(tuple, found.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr) == sorted(brute_lines(rows), key=repr)
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -196,9 +234,16 @@ def test_perfect_hash_is_minimal():
     assert not count.any()
 
 
+def test_lines_of_one_short_hash_are_told_apart():
+    h1 = np.array([7, 9, 7, 8, 7], np.uint64)
+    h2 = np.array([1, 2, 3, 4, 5], np.uint64)
+    shard = linededup.Shard(linededup.pack_shard(h1, h2, np.array([3, 4, 5, 6, 7]), np.array([30, 40, 50, 60, 70])))
+    count, keeper = shard.probe(np.append(h1, np.uint64(7)), np.append(h2, np.uint64(9)))
+    assert count.tolist() == [3, 4, 5, 6, 7, 0] and keeper.tolist() == [30, 40, 50, 60, 70, 0]
+
+
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
-    monkeypatch.setattr(linededup, "CACHE_BYTES", 1)
     rows = [(d, "\n".join(f"a line that is shared, number {i}" for i in range(20))) for d in range(3)]
     found = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert found == {0: 20, 1: 20, 2: 0}
@@ -218,7 +263,9 @@ def test_language(spark):
     rows = [(i, sentence(rng, t), t) for i, t in enumerate(list(TONGUES) * 40)]
     labelled = spark.createDataFrame(rows[:90] + [(900, None, "aa"), (901, "x", None)], "doc_id long, text string, lang string")
     asked = [(i, t) for i, t, _ in rows[90:]] + EDGE
-    found = langid.identify(clash(spark, asked), labelled).select("doc_id", "text", "lang_pred", "score", "rejected").collect()
+    found = langid.identify(clash(spark, asked), labelled)
+    assert kept(found, {"lang_pred", "score"})
+    found = found.select("doc_id", "text", "lang_pred", "score", "rejected").collect()
     truth = {i: t for i, _, t in rows[90:]}
     assert len(found) == len(asked)
     assert all(r["lang_pred"] == truth[r["doc_id"]] and not r["rejected"] for r in found if r["doc_id"] in truth)
@@ -232,13 +279,40 @@ def test_language(spark):
 
 
 def test_language_learns_every_label(spark):
-    rows = [(3 * k + i, words(60, k, 40).replace("w", "".join(chr(97 + k // 12**j % 12) for j in range(3))), f"l{k:03}") for k in range(150) for i in range(2 if k < 149 else 1)]
+    rows = [(3 * k + i, words(60, k, 40).replace("w", "".join(chr(97 + k // 12**j % 12) for j in range(3))), f"l{k:03}") for k in range(200) for i in range(2 if k < 199 else 1)]
     rows = [(i, "".join(chr(ord(c) - 48 + 110) if c.isdigit() else c for c in t), x) for i, t, x in rows]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = langid.fit(labelled)
-    assert sorted(found) == sorted({x for _, _, x in rows}) and len(found) == 150
+    assert sorted(found) == sorted({x for _, _, x in rows}) and len(found) == 200
     last = spark.createDataFrame(rows[-1:], "doc_id long, text string, lang string")
-    assert langid.identify(last, labelled).first()["lang_pred"] == "l149"
+    assert langid.identify(last, labelled).first()["lang_pred"] == "l199"
+
+
+def test_letters_keep_their_marks():
+    assert letters("हिन्दी, ภาษา-ไทย: ที่ x_1é E\u0301") == " हिन्दी ภาษา ไทย ที่ x é e\u0301 "
+    assert letters(None) == letters("") == letters("1 2 _!") == " "
+
+
+def test_language_matches_brute_force():
+    """Every chunk of every text with a compressor of its own."""
+    rng = random.Random(4)
+    dictionaries = {t: " ".join(sentence(rng, t) for _ in range(20)).encode() for t in TONGUES}
+    texts = [None, "", "12 !", sentence(rng, "aa", 400), sentence(rng, "bb", 3), "हिन्दी " * 300, "kari shtrok ouai"]
+    for text, found in zip(texts, langid.Classifier(dictionaries).classify(texts), strict=True):
+        own = " ".join(regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()))
+        if not own:
+            assert found == ("und", 0.0, 0.0, True)
+            continue
+        data, sizes = f" {own} ".encode(), []
+        for t in sorted(dictionaries):
+            settings = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, **langid.SETTINGS)
+            primed = zstandard.ZstdCompressionDict(dictionaries[t] + langid.FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            primed.precompute_compress(compression_params=settings)
+            one = lambda part: len(zstandard.ZstdCompressor(dict_data=primed, compression_params=settings).compress(langid.FRAME + part + langid.FRAME))  # noqa: E731, B023
+            sizes.append(sum(one(data[i : i + 1024]) for i in range(0, len(data), 1024)))
+        assert found[0] == sorted(dictionaries)[sizes.index(min(sizes))]
+        assert found[1] == pytest.approx(1 / sum(np.exp(-(s - min(sizes)) / 4) for s in sizes))
+        assert found[3] == ((sorted(sizes)[1] - min(sizes)) / sorted(sizes)[1] < 0.003)
 
 
 def test_toxicity(spark):
@@ -253,20 +327,71 @@ def test_toxicity(spark):
         labels.append((i, 0, int(bad)))
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (999, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, marks.where(fold("doc_id", 4) != 2))
-    found = toxicity.score(clash(spark, rows + EDGE), model).select("doc_id", "text", "score", "predicted").collect()
+    found = toxicity.score(clash(spark, rows + EDGE), model)
+    assert kept(found, {"score"})
+    found = found.select("doc_id", "text", "score", "predicted").collect()
     assert len(found) == len(rows) + len(EDGE)
     truth = {i: y for i, _, y in labels}
     held = [r for r in found if r["doc_id"] in truth and r["text"] == rows[r["doc_id"]][1] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert len(held) > 50 and sum(r["predicted"] != truth[r["doc_id"]] for r in held) <= 1
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in found)
     assert {r["predicted"] for r in found if not r["text"]} == {0}
-    named = docs.withColumns({c: F.lit("x") for c in ("_i", "_t", "_y", "_held", "toxic", "entry")})
-    assert toxicity.fit(named, marks.where(fold("doc_id", 4) != 2)).scores == model.scores
+    named = docs.withColumns({c: F.lit("x") for c in ("_i", "_t", "_y", "_fold", "toxic", "fragment")})
+    again = toxicity.fit(named, marks.where(fold("doc_id", 4) != 2))
+    assert (again.toxic, again.ordinary, again.coefficients.tolist()) == (model.toxic, model.ordinary, model.coefficients.tolist())
+    for r in found:
+        assert r["score"] == pytest.approx(brute_toxicity(model, r["text"]), abs=1e-12)
     empty = toxicity.fit(docs.limit(0), marks.limit(0))
     assert toxicity.score(docs, empty).count() == len(rows)
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def brute_toxicity(model, text):
+    """Every window with compressors of its own, and sums over all windows."""
+    own = regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+
+    def gain(words):
+        window = toxicity.FRAME + f" {' '.join(words)} ".encode() + toxicity.FRAME
+        sizes = []
+        for content in (model.toxic, model.ordinary):
+            settings = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, **toxicity.SETTINGS)
+            primed = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            primed.precompute_compress(compression_params=settings)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=primed, compression_params=settings).compress(window)))
+        return max(0, sizes[1] - sizes[0])
+
+    split = lambda words, n: [words[i : i + n] for i in range(0, len(words), n - 1) if i == 0 or i + 1 < len(words)]
+    saved = [gain(short) for long in split(own, 24) if gain(long) for short in split(long, 4)]
+    n, best = len(own) / 3 + 20, [*sorted(saved, reverse=True), 0, 0, 0]
+    row = [*best[:3], sum(s >= 2 for s in saved) / n, sum(s >= 2 for s in saved) / n**0.5, sum(s >= 6 for s in saved) / n**0.5, sum(saved) / n, sum(saved) / n**0.5]
+    return 1 / (1 + np.exp(-model.coefficients[0] - sum(a * b for a, b in zip(model.coefficients[1:], row, strict=True))))
+
+
+def test_cover_matches_brute_force():
+    rng = random.Random(3)
+    found = {f" {words(3, k, 30)} ".encode() for k in range(200)}
+    weights = {f: rng.choice([1.0, 2.5, 7.0]) for f in sorted(toxicity.fragments(f"w{i}" for i in range(30))) if rng.random() < 0.5}
+    left, want, size = dict(weights), [], 0
+    while size < 300:
+        value = lambda w: sum(left.get(f, 0) for f in toxicity.fragments(w.decode().split())) / len(w)
+        best = min(found, key=lambda w: (-value(w), w))
+        if not value(best):
+            break
+        want.append(best)
+        size += len(best)
+        for f in toxicity.fragments(best.decode().split()):
+            left.pop(f, None)
+    assert toxicity.cover(found, weights, 300) == want and len(want) > 5
+    toxic, ordinary = toxicity.dictionaries([b" a bad word "], {" bad ": 1.0}, b"common")
+    assert (toxic, ordinary) == (b" a bad word  common" + toxicity.FRAME, b" a \0\0\0 word  common" + toxicity.FRAME)
+
+
+def test_toxicity_reads_one_row_of_a_repeated_id(spark):
+    rows = [(i % 7, words(40, i)) for i in range(700)]
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 0, i % 2) for i in range(7)], "doc_id long, quality int, toxic int"))
+    assert len(model.ordinary) < 7 * 700
+
+
 @pytest.mark.parametrize("per_class", [1, 40, 5000])
 def test_hashed_sample_is_of_the_least_hashes(spark, per_class):
     rows = [(("a", "b", "b", None)[i % 4], i // 2 if i % 5 else None, "x") for i in range(6000)]
@@ -309,17 +434,72 @@ def test_packing(spark):
     assert packing.pack(frame.limit(0)).count() == 0
 
 
-def test_best_fit_chooses_the_least_cost():
-    lengths = sorted([500] * 3 + [12] * 3, reverse=True)
-    bins, offsets, sizes = packing.best_fit(lengths, (512, 1024), overhead=0)
-    assert sum(sizes) == 3 * 512
-    plain = [packing._pack(lengths, (512, 1024), c) for c in (512, 1024)]
-    assert min(sum(512 if f <= 512 else 1024 for f in fill) for _, _, fill in plain) == sum(sizes)
-
-
-def test_word_lengths(spark):
-    rows = packing.word_lengths(spark.createDataFrame([(1, None), (2, ""), (3, " a\tb\x0bc d ")], DOCS)).collect()
-    assert [r["n_tokens"] for r in rows] == [1, 1, 4 if "\xa0" in rows[2]["text"] else 5]
+def placed(lengths, choose):
+    """Fill of each bin under best fit; ``choose`` names the capacity of a bin by its number, length and what remains."""
+    bins = []
+    for at, length in enumerate(lengths):
+        fits = [b for b in bins if b[0] - b[1] >= length]
+        if fits:
+            least = min(b[0] - b[1] for b in fits)
+            chosen = [b for b in fits if b[0] - b[1] == least]
+            chosen = max(chosen, key=lambda b: b[2])
+        else:
+            chosen = [choose(len(bins), length, lengths[at + 1 :]), 0, 0]
+            bins.append(chosen)
+        chosen[1] += length
+        chosen[2] = at
+    return [b[1] for b in bins]
+
+
+def brute_choice(capacities, overhead):
+    """The capacity that costs least a token when it is filled from what remains, greatest first."""
+
+    def choose(_, length, rest):
+        best = None
+        for capacity in capacities:
+            if capacity >= length:
+                full = length
+                for n in sorted(rest, reverse=True):
+                    full += n if full + n <= capacity else 0
+                cost = (min(c for c in capacities if c >= full) + overhead) / full
+                if best is None or cost < best[0] - 1e-12:
+                    best = cost, capacity
+        return best[1]
+
+    return choose
+
+
+def test_best_fit_matches_brute_force():
+    """The same bins as by trying every capacity at every opening over plain lists, and a cost near the least that any
+    choice of capacities gives."""
+    rng = random.Random(2)
+    worst, better = 1.0, 0
+    for trial in range(60):
+        capacities, overhead = ((16, 32, 64), (10, 25, 64))[trial % 2], (0, 2, 9)[trial % 3]
+        lengths = sorted((rng.choice([rng.randrange(1, 65), rng.randrange(1, 20)]) for _ in range(rng.randrange(1, 10))), reverse=True)
+        bins, offsets, sizes = packing.best_fit(lengths, capacities, overhead)
+        fill = [sum(n for n, b in zip(lengths, bins, strict=True) if b == k) for k in range(len(sizes))]
+        assert fill == placed(lengths, brute_choice(capacities, overhead))
+        assert sizes == [min(c for c in capacities if c >= f) for f in fill]
+        cost = lambda fill: sum(min(c for c in capacities if c >= f) + overhead for f in fill)  # noqa: B023, E731
+        every = [cost(placed(lengths, lambda k, n, _, p=plan: next(c for c in capacities if c >= max(n, p[k])))) for plan in product(capacities, repeat=min(6, len(lengths))) if len(lengths) <= 6]  # noqa: B023
+        if every:
+            worst, better = max(worst, cost(fill) / min(every)), better + (cost(fill) < max(every))
+    assert worst < 1.5 and better > 5
+
+
+def test_best_fit_opens_several_capacities():
+    lengths = sorted([500] * 3 + [12] * 3 + [1000, 24], reverse=True)
+    _, _, sizes = packing.best_fit(lengths, (512, 1024), overhead=0)
+    assert sorted(sizes) == [512, 512, 512, 1024]
+
+
+def test_packing_spreads_a_repeated_row(spark):
+    found = packing.pack(spark.createDataFrame([(7, 100)] * 3000, "doc_id long, n_tokens long"), shard=300).collect()
+    shards = {}
+    for r in found:
+        shards[r["bin_id"] >> 32] = shards.get(r["bin_id"] >> 32, 0) + 1
+    assert len(shards) == 10 and max(shards.values()) < 600
 
 
 # ---- pieces
@@ -343,6 +523,10 @@ def test_pieces_match_the_library(spark):
         assert own["n_tokens"] == len(ids) and own["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert own["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert pieces.round_trip(spark.createDataFrame([], DOCS), path).count() == 0
+    assert kept(pieces.round_trip(clash(spark, rows), path), {"n_tokens"})
+    counted = pieces.with_lengths(clash(spark, rows), path)
+    assert kept(counted, {"n_tokens"}) and {r["doc_id"]: r["n_tokens"] for r in counted.collect()} == {i: len(library.encode(t or "", add_eos=True)) for i, t in rows}
+    assert pieces.with_lengths(spark.createDataFrame([], DOCS), path).count() == 0
 
 
 # ---- hosts
@@ -362,6 +546,18 @@ def test_hosts(spark):
     assert hosts.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_registered_domains(spark):
+    names = {
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "example.com:8080": ("example.com", "com"),
+        "user:word@www.example.com": ("example.com", "com"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"),
+        "[::1]:8080": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.com.au": ("x.com.au", "com.au"),
+    }
+    rows = hosts.split_url(spark.createDataFrame([(f"http://{n}/p",) for n in names], "url string")).collect()
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in rows} == names
+    own = hosts.split_url(spark.createDataFrame([("http://a.b.c.d.e/",)], "url string"), suffixes=["c.d.e", "e"]).first()
+    assert (own["domain"], own["suffix"]) == ("b.c.d.e", "c.d.e")
+
+
 @pytest.mark.parametrize("urls", [["http://a.org/x"], ["http://a.org/x", "http://b.com/de/", None, "http://c.net/"], [None], ["no scheme", "http://a.net"]])
 def test_hosts_of_single_pages(spark, urls):
     """No host, domain or suffix has two outcomes, or any."""
@@ -404,6 +600,37 @@ def test_minhash(spark):
     assert minhash.compare_edited(spark.createDataFrame([(5, "a b")], DOCS)).first()["near_next"] == 1.0
 
 
+def brute_minhash(text):
+    """One draw of every bin, hashed as Spark hashes."""
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    number = lambda v, seed, kind="<q": xxhash.xxh64_intdigest(struct.pack(kind, signed(v % 2**64) if kind == "<q" else v), seed)
+    own = [xxhash.xxh64_intdigest(w.translate({c: c + 32 for c in range(65, 91)}).encode(), 42) for w in regex.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    if not own:
+        return "0" * 128
+    least = {}
+    for i in range(max(1, len(own) - 4)):
+        h = 42
+        for w in own[i : i + 5]:
+            h = number(w, h)
+        b = (signed(h) >> 57) + 64
+        least[b] = min(signed(h), least.get(b, 2**63))
+    out = []
+    for b in range(128):
+        if b in least:
+            out.append(least[b] % 16)
+        else:
+            donor = min(least, key=lambda d: (signed(number(d, number(b, 42, "<i"), "<i")), least[d]))
+            out.append(number(b, number(least[donor], 42), "<i") % 16)
+    return "".join(f"{d:x}" for d in out)
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [None, "", " \x0b", "one", "A b C", words(6, 1), words(60, 2), words(3000, 3), "É ünï Ünï cödé\u00a0x y z"]
+    found = minhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert [r["fingerprint"] for r in sorted(found)] == list(map(brute_minhash, texts))
+    assert sum(len(set(f)) > 1 for f in map(brute_minhash, texts)) >= 5
+
+
 def test_next_over_many_ranges(spark):
     ids = [i * i for i in range(300)] + [10**15]
     rows = minhash.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], DOCS), "doc_id", ["text"], bucket=10).collect()
@@ -432,9 +659,10 @@ def test_likeness_is_unbiased(spark):
 
 
 def test_warc_round_trip(spark):
-    forged = "x" * 50 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" + warc.record("response", 77, "u", b"payload" * 30, "00", None).decode()
+    forged = "x" * 50 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" + warc.record("response", "77", "u", b"payload" * 30, "00", None).decode()
     big = "big page " * 3000
     rows = [(5, "http://a/\r\nb é", big), (3, "u", big), (9, None, big), (4, "u", "small"), (2, "u", "small"), (1, "u", None), (8, "u", ""), (7, "u", forged), (None, "u", "no id"), (6, "u", forged), (3, "u", big), (None, "u", big), (10, "u", "WARC/1.1\r\n" * 40)]
+    rows += [(LARGE, "u", "another page " * 9), (LARGE + 2, "u", "another page " * 9)]
     frame = spark.createDataFrame([(*r, "t", "d") for r in rows], "page_id long, url string, html string, record_type string, digest string")
     for split in (warc.SPLIT, 1000):
         found = warc.read(warc.write(frame), split).collect()

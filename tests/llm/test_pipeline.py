@@ -9,7 +9,9 @@ import textwrap
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import CLASH, EDGE, TONGUES, sentence
+from inkgraph.llm import langid, packing, toxicity
+from inkgraph.llm.shared import fold
+from tests.llm.test_operators import CLASH, EDGE, TONGUES, brute_kept, brute_lines, brute_toxicity, sentence
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,6 +57,35 @@ def test_stages(spark, tables):
     assert set(left["packing"]) == set(left["simhash"])
 
 
+def test_run_matches_brute_force(spark, tables):
+    """Stage by stage over plain rows; the models that the stages learn are taken as they are."""
+    import public_tokenizers
+    import sentencepiece
+
+    folder, rows, _, _ = tables
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    left = [(r[0], r[1]) for r in rows]
+    model = toxicity.fit(docs, spark.read.parquet(str(folder / "labels.parquet")).where(fold("doc_id", 4) != 2))
+    left = [r for r in left if brute_toxicity(model, r[1]) < 0.3]
+    stay = spark.createDataFrame([(i,) for i, _ in left if i is not None], "doc_id long").distinct()
+    none = docs.where("doc_id IS NULL") if any(i is None for i, _ in left) else docs.limit(0)
+    classifier = langid.Classifier(langid.fit(docs.join(stay, "doc_id", "left_semi").unionByName(none).where("crc32(cast(doc_id AS string)) % 3 <> 1")))
+    left = [r for r, told in zip(left, classifier.classify([t for _, t in left]), strict=True) if not told[3]]
+    left = brute_kept([(i, text) for i, text, _, _ in brute_lines(left)])
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((i, len(library.encode(t, add_eos=True))) for i, t in left if i is not None)
+    found = corpus_pipeline.run(spark, str(folder)).collect()
+    by = {}
+    for r in found:
+        by.setdefault((r["doc_id"], r["piece"]), []).append(r["n_tokens"])
+    whole = {}
+    for (doc, _), parts in by.items():
+        whole[doc] = [a + b for a, b in zip(whole.get(doc, [0] * len(parts)), parts, strict=True)]
+    assert sorted((i, n) for i, parts in whole.items() if i is not None for n in parts) == want
+    assert sum(r["n_tokens"] for r in found if r["doc_id"] is not None) == sum(n for _, n in want)
+    assert max(r["capacity"] for r in found) in packing.CAPACITIES
+
+
 def test_near_duplicates_of_five_words(spark, tmp_path):
     """Every sixtieth word changed leaves a likeness of 0.8 or more, which a few SimHash bits don't reach."""
     rng = random.Random(5)
