@@ -12,6 +12,17 @@ from inkgraph.functions.document import WHITE, heading_text, parse
 from inkgraph.functions.sections import Section, section_tree
 
 
+#: What each rejection says.
+SAID = {
+    "not_found": "heading path '{path}' was not found in file '{file}'",
+    "invalid_target": "the preamble of '{file}' has no heading and cannot be edited with edit_section",
+    "conflict": "section '{path}' in '{file}' changed since it was read: expected hash {expected}, current hash {current}",
+    "escape": "new body contains heading '{heading}' at level {found}, which would escape section '{path}' at level {level}; "
+    "use headings deeper than level {level} or edit a higher-level section",
+    "restructure": "the edit would change sections outside '{path}' (for example by merging into an adjacent section); edit rejected, file unmodified",
+}
+
+
 class EditRejected(ValueError):
     """kind: not_found, invalid_target, conflict, escape, restructure or io."""
 
@@ -56,20 +67,21 @@ def apply_edit(file: str, source: str, heading_path: str, body: str, expected_ha
     """The edited source; raises EditRejected."""
     old = section_tree(parse(source), digest)
     section = next((s for s in old if s.heading_path == heading_path), None)
+
+    def rejected(kind: str, current: str | None = None, **more) -> EditRejected:
+        return EditRejected(kind, SAID[kind].format(file=file, path=heading_path, expected=expected_hash, current=current, **more), current)
+
     if section is None:
-        raise EditRejected("not_found", f"heading path '{heading_path}' was not found in file '{file}'")
+        raise rejected("not_found")
     if section.heading_end is None:
-        raise EditRejected("invalid_target", f"the preamble of '{file}' has no heading and cannot be edited with edit_section")
+        raise rejected("invalid_target")
     if section.content_hash != expected_hash:
-        said = f"section '{heading_path}' in '{file}' changed since it was read: expected hash {expected_hash}, current hash {section.content_hash}"
-        raise EditRejected("conflict", said, section.content_hash)
+        raise rejected("conflict", section.content_hash)
     if found := escaping_heading(body, section.level):
-        said = f"new body contains heading '{found[0]}' at level {found[1]}, which would escape section '{heading_path}' at level {section.level}"
-        raise EditRejected("escape", f"{said}; use headings deeper than level {section.level} or edit a higher-level section")
+        raise rejected("escape", heading=found[0], found=found[1], level=section.level)
     edited = splice(source.encode("utf-8", "surrogatepass"), section.heading_end, section.end, body).decode("utf-8", "surrogatepass")
     if skeleton(section_tree(parse(edited), digest), heading_path) != skeleton(old, heading_path):
-        said = f"the edit would change sections outside '{heading_path}' (for example by merging into an adjacent section)"
-        raise EditRejected("restructure", f"{said}; edit rejected, file unmodified")
+        raise rejected("restructure")
     return edited
 
 

@@ -10,6 +10,12 @@ from inkgraph.functions import text as X
 PROVENANCE = ["from_file", "from_heading_path", "from_start", "from_end", "from_line_start", "from_line_end", "from_content_hash"]
 
 
+#: Why a link doesn't resolve, and how that is told.
+NO_PATH, NO_STEM, MANY_FILES = "no file matches path '%s'", "no file matches '%s'", "'%s' matches multiple files: %s"
+NO_HEADING, MANY_HEADINGS = "no heading named '%s'", "heading '%s' is ambiguous: %s"
+UNRESOLVED = "wikilink '[[%s]]' in section '%s' of '%s' does not resolve: %s"
+
+
 def resolve(links: DataFrame, sections: DataFrame, files: DataFrame) -> DataFrame:
     """Every link with target_file, target_heading_path and reason (null where it resolves).
 
@@ -45,11 +51,11 @@ def resolve(links: DataFrame, sections: DataFrame, files: DataFrame) -> DataFram
         .when(F.col("exact_known"), F.col("exact"))
         .when(n == 1, F.col("stem_file"))
     )
-    many = F.format_string("'%s' matches multiple files: %s", "file_part", F.array_join("stem_files", ", "))
+    many = F.format_string(MANY_FILES, "file_part", F.array_join("stem_files", ", "))
     no_file = (
-        F.when(slashed, F.format_string("no file matches path '%s'", "file_part"))
+        F.when(slashed, F.format_string(NO_PATH, "file_part"))
         .when(n > 1, many)
-        .otherwise(F.format_string("no file matches '%s'", "file_part"))
+        .otherwise(F.format_string(NO_STEM, "file_part"))
     )
     rows = rows.withColumns({"target_file": file, "no_file": F.when(file.isNull(), no_file)})
     named = sections.where(F.col("heading").isNotNull()).select(F.col("file").alias("target_file"), F.col("heading").alias("heading_part"), "ord", "heading_path")
@@ -61,8 +67,8 @@ def resolve(links: DataFrame, sections: DataFrame, files: DataFrame) -> DataFram
     m = F.coalesce("m", F.lit(0))
     wants = F.col("heading_part").isNotNull() & F.col("target_file").isNotNull()
     no_heading = (
-        F.when(wants & (m == 0), F.format_string("no heading named '%s'", "heading_part"))
-        .when(wants & (m > 1), F.format_string("heading '%s' is ambiguous: %s", "heading_part", F.array_join("paths", ", ")))
+        F.when(wants & (m == 0), F.format_string(NO_HEADING, "heading_part"))
+        .when(wants & (m > 1), F.format_string(MANY_HEADINGS, "heading_part", F.array_join("paths", ", ")))
     )
     found = F.when(m == 1, F.col("path"))
     return rows.select(*PROVENANCE, "link_ord", "raw_target", "target_file", found.alias("target_heading_path"), F.coalesce("no_file", no_heading).alias("reason"))
@@ -75,5 +81,5 @@ def backlinks(resolved: DataFrame) -> DataFrame:
 
 def link_diagnostics(resolved: DataFrame) -> DataFrame:
     """(file, message) of each link that doesn't resolve."""
-    said = F.format_string("wikilink '[[%s]]' in section '%s' of '%s' does not resolve: %s", "raw_target", "from_heading_path", "from_file", "reason")
+    said = F.format_string(UNRESOLVED, "raw_target", "from_heading_path", "from_file", "reason")
     return resolved.where("reason IS NOT NULL").select(F.col("from_file").alias("file"), said.alias("message"))

@@ -14,6 +14,7 @@ from inkgraph.functions import text as X
 from inkgraph.operators import diff, edit, links, parse, retrieve
 from inkgraph.operators import search as ranked
 from inkgraph.plans import grammar, tools
+from inkgraph.sources.vault import hold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,8 +111,8 @@ def sections_of(vault: DataFrame) -> DataFrame:
 
 
 def resolved_of(vault: DataFrame) -> DataFrame:
-    """Resolved links; sections and links come from one parse, which is kept for the query."""
-    parsed = parse.parse_documents(vault).select("file", F.struct("parsed.sections", "parsed.links").alias("parsed")).persist()
+    """Resolved links; sections and links come from one parse, which is written to the checkpoint folder."""
+    parsed = hold(parse.parse_documents(vault).select("file", F.struct("parsed.sections", "parsed.links").alias("parsed")))
     return links.resolve(parse.raw_links(parsed), parse.sections(parsed), parsed.select("file"))
 
 

@@ -7,11 +7,13 @@ import json
 import os
 import shutil
 import tempfile
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgraph import cli
+from inkgraph.operators import parse
 from inkgraph.plans.vault import Vault
 from inkgraph.sources import vault as source
 
@@ -125,8 +127,8 @@ def vault_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.concat("text", F.when(F.col("file") == "r/1.md", F.lit("## X\na\n\n## X[2]\nb\n\n## X\nc\n")).otherwise(F.lit("")))
     first = old.where("file <> 'r/2.md'").select("file", twice.alias("text"))
     text = F.when(F.col("file") == "r/0.md", F.replace("text", F.lit("kept"), F.lit("lost"))).when(F.col("file") == "r/1.md", F.concat("text", F.lit("## X\na\n\n## X\nnew\n"))).otherwise(F.col("text"))
-    vault, other = Vault(spark, docs=first), Vault(spark, docs=old.where("file <> 'r/3.md'").select("file", text.alias("text")))
-    return Vault.changes(vault.snapshot, other.snapshot)
+    state = lambda p: SimpleNamespace(files=p.select("file"), sections=parse.sections(p))
+    return Vault.changes(state(parse.parse_documents(first)), state(parse.parse_documents(old.where("file <> 'r/3.md'").select("file", text.alias("text")))))
 
 
 QUERIES = {f.__name__: f for f in (folder_scan, tool_reads, tool_writes, vault_messages, vault_changes)}

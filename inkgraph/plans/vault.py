@@ -14,6 +14,11 @@ from inkgraph.operators import search as ranked
 from inkgraph.sources import vault as source
 
 
+#: What failing requests say.
+NOT_INDEXED, NO_PATH = "file '{file}' is not indexed", "heading path '{path}' was not found in file '{file}'"
+NOT_RELATIVE, NOT_READ, NOT_WRITTEN = "file '{file}' is not a vault-relative path", "file '{file}' could not be read: {error}", "failed to write '{file}': {error}"
+
+
 class NotFound(LookupError):
     """Nothing by that name; ``suggestions`` holds the nearest names."""
 
@@ -36,7 +41,8 @@ class Snapshot:
         self.docs = self.parsed.select("file", "text")
         self.files = self.parsed.select("file")
         self.sections = parse.sections(self.parsed)
-        self.resolved = links.resolve(parse.raw_links(self.parsed), self.sections, self.files)
+        # the link index: built when it is first asked for, and gone with the snapshot
+        self.resolved = links.resolve(parse.raw_links(self.parsed), self.sections, self.files).persist()
         self.backlinks = links.backlinks(self.resolved)
         self.diagnostics = self.said.union(links.link_diagnostics(self.resolved)).orderBy(F.asc_nulls_first("file"), "message")
 
@@ -46,8 +52,10 @@ class Snapshot:
         own = parse.document_diagnostics(parsed)
         return cls(parsed, own if said is None else own.union(said), parsed)
 
-    def close(self) -> None:
-        if self.base is not None:
+    def close(self, base: bool = True) -> None:
+        """Let go of what is cached; not of the parsed documents if another snapshot rests on them."""
+        self.resolved.unpersist()
+        if base and self.base is not None:
             self.base.unpersist()
 
 
@@ -76,7 +84,7 @@ class Vault:
         """The indexed file that a request names; raises NotFound."""
         asked = self.spark.range(1).select(F.coalesce(X.normalize_path(F.lit(file)), F.translate(F.lit(file), "\\", "/"))).first()[0]
         if self.snapshot.files.where(F.col("file") == asked).isEmpty():
-            raise NotFound(f"file '{file}' is not indexed", self._nearest(asked, self.snapshot.files))
+            raise NotFound(NOT_INDEXED.format(file=file), self._nearest(asked, self.snapshot.files))
         return asked
 
     def outline(self, file: str) -> DataFrame:
@@ -88,7 +96,7 @@ class Vault:
         asked = self.spark.createDataFrame([(key, heading_path)], "file string, heading_path string")
         row = retrieve.get_sections(self.snapshot.docs, own, asked).first()
         if row is None:
-            raise NotFound(f"heading path '{heading_path}' was not found in file '{key}'", self._nearest(heading_path, own.select("heading_path")))
+            raise NotFound(NO_PATH.format(path=heading_path, file=key), self._nearest(heading_path, own.select("heading_path")))
         out = row.asDict()
         return {
             "content": out["content"],
@@ -119,7 +127,8 @@ class Vault:
 
     @staticmethod
     def changes(old: Snapshot, new: Snapshot) -> DataFrame:
-        """(file, change, heading_path) of all that changed; the path is null for files that only one side has."""
+        """(file, change, heading_path) of all that changed between the states' files and sections; the path is null for
+        files that only one side has."""
         files = diff.diff_files(old.files, new.files).select("file", "change", F.lit(None).cast("string").alias("heading_path"))
         return files.union(diff.diff_sections(old.sections, new.sections, old.files, new.files))
 
@@ -145,12 +154,12 @@ class Vault:
         """(key, text on disk) of the file that a request names; raises NotFound."""
         key = self.spark.range(1).select(X.normalize_path(F.lit(file))).first()[0]
         if key is None:
-            raise NotFound(f"file '{file}' is not a vault-relative path", [])
+            raise NotFound(NOT_RELATIVE.format(file=file), [])
         try:
             with open(os.path.join(self.root, key), encoding="utf-8", newline="") as handle:
                 return key, handle.read()
         except (OSError, UnicodeDecodeError) as error:
-            raise NotFound(f"file '{file}' could not be read: {error}", self._nearest(key, self.snapshot.files)) from error
+            raise NotFound(NOT_READ.format(file=file, error=error), self._nearest(key, self.snapshot.files)) from error
 
     def _replace(self, file: str, text: str) -> None:
         """Take ``text`` for a file; only it is parsed. Diagnostics of reading and parsing stay those of the last
@@ -162,7 +171,7 @@ class Vault:
         base = old.base
         if self._replaced % REPLACED == 0:
             parsed, base = source.hold(parsed), None
-            old.close()
+        old.close(base is None)
         self.snapshot = Snapshot(parsed, old.said, base)
 
     def edit_section(self, file: str, heading_path: str, body: str, expected_hash: str) -> DataFrame:
@@ -180,7 +189,7 @@ class Vault:
             try:
                 source.write_file(self.root, key, edited)
             except OSError as error:
-                raise edit.EditRejected("io", f"failed to write '{key}': {error}") from error
+                raise edit.EditRejected("io", NOT_WRITTEN.format(file=key, error=error)) from error
             self._replace(key, edited)
             own = self.snapshot.sections.where(F.col("file") == key)
             return retrieve.outline(own).join(own.select("ord", "content_hash"), "ord").orderBy("ord")
