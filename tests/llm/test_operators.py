@@ -167,10 +167,11 @@ def brute_kept(rows):
     return [r for r, g in zip(rows, group, strict=True) if r[0] is None or r[0] == least[g]]
 
 
-@pytest.mark.parametrize("hub", [256, 3])
-def test_near_sets_match_brute_force(spark, monkeypatch, hub):
+@pytest.mark.parametrize(("hub", "part"), [(256, 1_000_000), (3, 500)])
+def test_near_sets_match_brute_force(spark, monkeypatch, hub, part):
     """Pairs around the least likeness, groups and chains; SimHash within three bits finds few of them."""
     monkeypatch.setattr(nearsets, "HUB", hub)
+    monkeypatch.setattr(nearsets, "PART", part)
     rng = random.Random(8)
     rows = [*EDGE]
     for k in range(40):
@@ -181,6 +182,13 @@ def test_near_sets_match_brute_force(spark, monkeypatch, hub):
             for at in rng.sample(range(200), rng.randrange(1, 8)):
                 own[at] = f"new{rng.random()}"
             rows.append((100 + 10 * k + n, " ".join(own)))
+    # one large group whose members are alike by others only, or not at all
+    base = words(200, 77, 5000).split()
+    for n in range(60):
+        own = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 12)):
+            own[at] = f"new{rng.random()}"
+        rows.append((2000 + n, " ".join(own)))
     rows += [(LARGE, words(90, 902)), (LARGE + 1, words(90, 902)), (LARGE + 2, words(90, 903))]
     rows += [(7001, words(90, 900)), (7002, words(90, 900)), (7002, words(90, 901)), (7003, words(90, 901)), (None, words(90, 900))]
     found = nearsets.keep_one(clash(spark, rows))
