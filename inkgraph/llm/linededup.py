@@ -235,8 +235,8 @@ def dedup_lines(
             return
         whole = lambda parts: np.concatenate(parts)
         owner, number, ids, named, widths = map(whole, (owner, number, ids, named, widths))
-        context = TaskContext.get()
-        count, keeper = index.probe(whole([a for a, _ in hashed]), whole([b for _, b in hashed]), context.partitionId() if context else 0)
+        task = TaskContext.get()
+        count, keeper = index.probe(whole([a for a, _ in hashed]), whole([b for _, b in hashed]), task.partitionId() if task else 0)
         del hashed
         gone = np.flatnonzero((count >= min_docs) & ((keeper != ids[owner]) | ~named[owner]))
         owner, number = owner[gone], number[gone]

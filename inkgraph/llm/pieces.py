@@ -22,7 +22,7 @@ from inkgraph.llm.shared import bound_batches, tidy, with_struct
 
 MARK = "▁"
 #: Characters of distinct chunks that a task remembers, and texts that are cut into chunks at once.
-REMEMBERED, TEXTS = 1_000_000, 64
+REMEMBERED, TEXTS = 1_000_000, 256
 _CHUNK = re.compile(r" +[^ ]*")
 #: All that usual normalisations change: characters with another compatibility or lower-case form, blanks at both ends.
 _CHANGEABLE = " a  \t\r\n" + "".join(c for c in map(chr, range(0xA0, 0xD800)) if unicodedata.normalize("NFKC", c) != c or c.lower() != c) + "e\u0301 A "

@@ -156,7 +156,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES from now on, unless the session has its own limit: what Python workers
     hold follows the batch, and a batch of long texts is large."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == f"{64 << 20}b":
+    if spark.conf.get(name, None) is None and spark.conf.isModifiable(name):
         spark.conf.set(name, str(BATCH_BYTES))
 
 
