@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from inkgraph.llm.shared import materialize
 
 #: Pivots, sampled by smallest id hash, and how many of them represent a vector.
-PIVOTS, NEAREST = 256, 64
+PIVOTS, NEAREST = 256, 40
 #: Share of each segment that is reranked, and vectors of a segment at least reranked.
 RERANK, RERANK_LEAST = 0.3, 200
 #: Vectors of a segment, and queries of a block; a task meets one segment with one block.
