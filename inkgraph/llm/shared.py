@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Ranges of hashes in which a sample is ordered.
 SLICES = 64
 #: Bytes of an Arrow batch of texts, in place of Spark's default.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Rows of one key from which a join broadcasts what the key meets; a table has at most its rows by this of such keys.
 HOT = 100_000
 
