@@ -16,7 +16,7 @@ from inkgraph.llm.zstd import compressor
 
 UNKNOWN = "und"
 #: Labelled rows of each language whose whole texts are its dictionary.
-ROWS_PER_LANGUAGE = 48
+ROWS_PER_LANGUAGE = 96
 LEVEL, CHUNK = 6, 1024
 SETTINGS = {"window_log": 21, "chain_log": 17, "hash_log": 17}
 #: A text is rejected if its two smallest encodings differ by less than this share.
