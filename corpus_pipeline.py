@@ -34,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id of each group of near-duplicates: texts whose five-word shingles have a Jaccard
-    likeness of 0.8 or more, directly or by others."""
+    likeness of 0.8 or more, directly or by others; found by SimHash tries first, as :mod:`inkgraph.llm.nearsets` says."""
     return nearsets.keep_one(docs)
 
 

@@ -1,7 +1,10 @@
-"""Near-duplicates by exact Jaccard likeness of word shingle sets.
+"""Near-duplicates by SimHash tries and exact Jaccard likeness of word shingle sets.
 
-Pairs that share a MinHash bucket are candidates; what links is decided on the whole sets. At the least likeness that
-links, a pair shares none of its BANDS buckets with a chance of (1 - 0.8 ** ROWS) ** BANDS, five in a hundred million.
+Candidates are the pairs within BUDGET bits that a self-join of binary tries over the sets' SimHashes gives; what links
+is decided on the whole sets. 64 bits don't bring all alike sets within any budget that tells them from others: what
+the tries leave apart is settled by MinHash buckets, whose members of different groups are compared. At the least
+likeness that links, a pair shares none of its BANDS buckets with a chance of (1 - 0.8 ** ROWS) ** BANDS, five in a
+hundred million.
 """
 
 from __future__ import annotations
@@ -15,9 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgraph.llm.components import connected_components
-from inkgraph.llm.shared import bound_batches, discard, materialize, tidy
+from inkgraph.llm.shared import bound_batches, discard, materialize, only, tidy
+from inkgraph.llm.simhash import majority, near_pairs
 
 SHINGLE = 5
+#: Differing SimHash bits of a candidate pair.
+BUDGET = 11
+#: Pairs that a task of the tries gives for a fingerprint at least, if it has them; the buckets settle the others.
+NEAREST = 4
 #: Least Jaccard likeness of a link, as a fraction.
 LEAST = (4, 5)
 #: Buckets of a set, and MinHash values that name each.
@@ -48,6 +56,11 @@ def node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """SimHash of the set, a signed long; zero for the empty one."""
+    return int(np.uint64(majority(hashes)).view(np.int64)) if len(hashes) else 0
+
+
 def buckets(hashes: np.ndarray) -> np.ndarray:
     """A signed long for each band; none for the empty set."""
     if not len(hashes):
@@ -66,20 +79,22 @@ def row_key(ids: Column, text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, key, node, buckets) for every row of ``docs``; key: its :func:`row_key`. Ids don't pass through Python."""
+    """(doc_id, key, node, fp, buckets) for every row of ``docs``; key: its :func:`row_key`, fp: its :func:`simhash`. Ids
+    don't pass through Python."""
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("node long, buckets array<long>")
+    @F.pandas_udf("node long, fp long, buckets array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             # a batch's sets would take as much memory as its texts
-            nodes, own = zip(*((node(s), buckets(s)) for s in (shingles(t, size) for t in texts)), strict=True) if len(texts) else ((), ())
-            yield pd.DataFrame({"node": np.array(nodes, np.int64), "buckets": pd.Series(own, dtype=object)})
+            own = [(node(s), simhash(s), buckets(s)) for s in (shingles(t, size) for t in texts)]
+            nodes, fps, named = zip(*own, strict=True) if own else ((), (), ())
+            yield pd.DataFrame({"node": np.array(nodes, np.int64), "fp": np.array(fps, np.int64), "buckets": pd.Series(named, dtype=object)})
         tidy()
 
     keyed = row_key(F.col(id_col), F.col(text_col)).alias("key")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), keyed, run(F.col(text_col)).alias("_s"))
-    return rows.select("doc_id", "key", "_s.node", "_s.buckets")
+    return rows.select("doc_id", "key", "_s.node", "_s.fp", "_s.buckets")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -171,33 +186,58 @@ def _pairs(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def components(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, component) of all nodes that link to another, directly or by others.
+def candidates(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints the tries find within BUDGET bits; nodes of one fingerprint meet the
+    least of them, which meets other fingerprints' for all."""
+    own = signed.where(F.size("buckets") > 0).select("node", "fp").distinct()
+    reps = materialize(own.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "near-fingerprints")
+    near = near_pairs(reps, BUDGET, NEAREST)
+    for side in ("a", "b"):
+        near = near.join(reps.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    same = own.join(reps.where("n > 1"), "fp").where("node <> rep").select(*_pairs("node", "rep"))
+    return near.select(*_pairs("a_rep", "b_rep")).union(same).distinct()
+
+
+def rest(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` (a, b) with those that join what the buckets of ``members`` (node, bucket, lo, hi) hold and ``links``
+    leave apart.
 
     A bucket's members first meet its least and its greatest node. In buckets that then still hold several components
     all pairs of these are compared, but in tasks that give links alone, so that a large group of near copies is not
     squared into rows and no candidate is left out."""
-    rows = signed.select("node", F.explode("buckets").alias("bucket"))
-    ends = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    members = materialize(rows.join(ends, "bucket").distinct(), "near-members")
-    nodes = members.select("node").distinct()
-    first = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("_k"))
-    first = materialize(first.select("_k"), "near-first")
-    sets = materialize(_sets(docs, first, id_col, text_col, size), "near-sets")
+    parts = materialize(connected_components(links), "near-components")
     stars = members.select("node", F.explode(F.array("lo", "hi")).alias("centre")).where("node <> centre")
-    stars = materialize(stars.select(*_pairs("node", "centre")).distinct(), "near-stars")
-    links = materialize(verified(stars, sets), "near-links")
+    stars = stars.select(*_pairs("node", "centre")).distinct()
+    for side in ("a", "b"):
+        stars = stars.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of")), side, "left")
+    apart = F.coalesce("a_of", "a") != F.coalesce("b_of", "b")
+    stars = materialize(stars.where(apart).select("a", "b"), "near-stars")
+    links = materialize(links.union(verified(stars, sets)), "near-links")
+    discard(parts)
     parts = materialize(connected_components(links), "near-components")
     at = members.select("bucket", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     held = at.groupBy("bucket", "component").count().groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("count").alias("n"))
     # of three members each pair has met already
     at = materialize(at.join(held.where("kinds > 1 AND n > 3").select("bucket"), "bucket"), "near-mixed")
     more = materialize(compared(at, sets), "near-more")
-    if not more.isEmpty():
-        parts = materialize(connected_components(links.union(more)), "near-components")
-    for done in (members, first, sets, stars, links, at, more):
+    for done in (stars, parts, at):
         discard(done)
-    return parts
+    return links.union(more)
+
+
+def components(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, component) of all nodes that link to another, directly or by others: by the tries first, then by what
+    the buckets hold besides."""
+    rows = signed.select("node", F.explode("buckets").alias("bucket"))
+    ends = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    members = materialize(rows.join(ends, "bucket").distinct(), "near-members")
+    pairs = materialize(candidates(signed), "near-pairs")
+    nodes = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    first = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("_k"))
+    first = materialize(first.select("_k"), "near-first")
+    sets = materialize(_sets(docs, first, id_col, text_col, size), "near-sets")
+    links = materialize(verified(pairs, sets), "near-tries")
+    return materialize(connected_components(rest(members, sets, links)), "near-components")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -207,7 +247,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     no name tells from each other. An id with texts in several groups is decided in each. Null and wordless texts are
     alike. No rows give no rows; other columns, whatever their names, are not looked at."""
     signed = materialize(sketches(docs, id_col, text_col, size), "near-sketches")
-    parts = components(docs, signed, id_col, text_col, size)
+    with only(docs.sparkSession) as keep:
+        parts = components(docs, signed, id_col, text_col, size)
+        keep(parts)
     least = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     named = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("name"))

@@ -4,6 +4,9 @@ A fingerprint has 64 bits; two link at up to three differing bits, so that of fo
 Each distinct fingerprint enters four tries, whose keys start with another block. A pair of subtries below one root
 block is walked together: every step down a bit gives up to four pairs of children, those of unlike bits add one to
 the pair's error, and a pair goes as soon as its error exceeds the budget.
+
+With a wider budget of b, one of the four blocks has at most b // 4 differing bits: the tries are then walked from their
+roots, with that budget in the first block and b in all.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ PART = 20_000
 LEAF_PAIRS = 32
 #: Pairs of subtries expanded at once, and rows joined at once.
 FRONTIER, ROWS = 1_000_000, 250_000
+#: For wider budgets: fingerprints of a part of a whole trie, parts of a smaller trie (not below 4,096 each), and pairs
+#: of subtries expanded at once.
+WIDE_PART, WIDE_PARTS, WIDE_FRONTIER = 1 << 17, 5, 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -40,7 +46,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64)
+    return majority(np.fromiter((digest(g, 42) for g in grams), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 1 << 16):
         part = hashes[start : start + (1 << 16)]
@@ -69,8 +79,11 @@ def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def trie_pairs(keys: np.ndarray, roots: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of ``keys`` within ``budget`` differing bits.
+def trie_pairs(
+    keys: np.ndarray, roots: np.ndarray, bits: int, budget: int, first: int | None = None, frontier: int = FRONTIER
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of ``keys`` within ``budget`` differing bits. first: the budget within the first block from
+    the roots; pairs beyond it may be among those found.
 
     roots: rows (a_lo, a_hi, b_lo, b_hi) of subtries to be joined, each a range of ``keys`` sorted by its low
     ``bits`` bits, with equal bits above and no repeats; equal ranges stand for a join of a subtrie with itself.
@@ -85,8 +98,8 @@ def trie_pairs(keys: np.ndarray, roots: np.ndarray, bits: int, budget: int) -> I
     todo = [(bits - 1, roots.astype(np.int64), np.zeros(len(roots), np.int64))]
     while todo:
         bit, pairs, error = todo.pop()
-        if len(pairs) > FRONTIER:
-            todo += [(bit, pairs[i : i + FRONTIER], error[i : i + FRONTIER]) for i in range(0, len(pairs), FRONTIER)]
+        if len(pairs) > frontier:
+            todo += [(bit, pairs[i : i + frontier], error[i : i + frontier]) for i in range(0, len(pairs), frontier)]
             continue
         n, m = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
         small = (n * m <= LEAF_PAIRS) | (bit < 0)
@@ -111,7 +124,8 @@ def trie_pairs(keys: np.ndarray, roots: np.ndarray, bits: int, budget: int) -> I
             (np.stack((a_mid, a_hi, b_lo, b_mid), 1)[~alike], (error + 1)[~alike]),
         ]
         pairs, error = np.concatenate([c for c, _ in children]), np.concatenate([e for _, e in children])
-        keep = (error <= budget) & (pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])
+        most = budget if first is None or bit < bits - BLOCK else first
+        keep = (error <= most) & (pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])
         if keep.any():
             todo.append((bit - 1, pairs[keep], error[keep]))
 
@@ -203,6 +217,74 @@ def trie_links(reps: DataFrame, budget: int = 3, part: int = PART) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
 
 
+def _turned(keys: np.ndarray, turn: int) -> np.ndarray:
+    """``keys`` with block ``turn`` in front."""
+    shift = turn * BLOCK
+    return keys if not shift else (keys << np.uint64(shift)) | (keys >> np.uint64(BITS - shift))
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(values, kind="stable")
+    own = values[order]
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+    return out
+
+
+def wide_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within ``budget`` differing bits of two tables of distinct fingerprints, or of one (``right`` None), each
+    once. most: of a fingerprint in more pairs at least so many are given, and the others where their other end is
+    in fewer."""
+    fps = left if right is None else np.concatenate((left, right))
+    seen = np.zeros(len(fps), np.int64)
+    first = np.uint64(budget // (BITS // BLOCK))
+    for turn in range(BITS // BLOCK):
+        keys = _turned(fps, turn)
+        order = np.argsort(keys[: len(left)])
+        if right is not None:
+            order = np.concatenate((order, len(left) + np.argsort(keys[len(left) :])))
+        roots = [[0, len(left), 0, len(left)]] if right is None else [[0, len(left), len(left), len(fps)]]
+        for i, j in trie_pairs(keys[order], np.array(roots), BITS, budget, int(first), WIDE_FRONTIER):
+            i, j = order[i], order[j]
+            unlike = fps[i] ^ fps[j]
+            # the first block within its budget is the turn of the pair
+            near = [np.bitwise_count(_turned(unlike, t) >> np.uint64(BITS - BLOCK)) <= first for t in range(turn + 1)]
+            own = near[turn] & ~np.any(near[:turn], axis=0) if turn else near[0]
+            own = np.flatnonzero(own)
+            own = own[np.argsort(np.bitwise_count(unlike[own]), kind="stable")]
+            i, j = i[own], j[own]
+            if most is not None and len(i):
+                few = (seen[i] + _ranks(i) < most) | (seen[j] + _ranks(j) < most)
+                i, j = i[few], j[few]
+                np.add.at(seen, i, 1)
+                np.add.at(seen, j, 1)
+            if len(i):
+                yield fps[i], fps[j]
+
+
+def near_pairs(reps: DataFrame, budget: int, most: int | None = None, part: int = WIDE_PART) -> DataFrame:
+    """Pairs (a, b) within ``budget`` differing bits of distinct fingerprints (column fp), of any budget, each once.
+    The fingerprints are dealt into parts by hash, every two of which meet in a task, so the work grows with the square
+    of their number. most: as :func:`wide_pairs`, in each task."""
+    count = reps.count()
+    parts = max(-(-count // part), min(WIDE_PARTS, -(-count // 4096)), 1)
+    own = F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("long").alias("own")
+    tasks = F.expr(f"transform(sequence(0L, {parts - 1}L), x -> struct(least(x, own) AS i, greatest(x, own) AS j, int(x < own) AS side))")
+    dealt = reps.select("fp", own).select("fp", F.explode(tasks).alias("t")).select("fp", "t.i", "t.j", "t.side")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        fps, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy() == 1
+        within = group["i"].iloc[0] == group["j"].iloc[0]
+        found = list(wide_pairs(fps, None, budget, most) if within else wide_pairs(fps[~side], fps[side], budget, most))
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b})
+
+    keyed = dealt.repartition(parts * (parts + 1) // 2, "i", "j")
+    return keyed.groupBy("i", "j").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, keyed: bool = False
 ) -> DataFrame:

@@ -103,6 +103,25 @@ def test_trie_links_match_brute_force(spark, part):
             assert not members & set(found)
 
 
+@pytest.mark.parametrize(("budget", "part"), [(3, 1 << 17), (11, 1 << 17), (11, 90), (15, 200)])
+def test_wide_tries_match_brute_force(spark, budget, part):
+    """Every pair within the budget once, however the tries are dealt out; a limit leaves each its pairs in part."""
+    rng = random.Random(4)
+    fps = {rng.getrandbits(64) for _ in range(300)} | {0, 1, 2**63, 2**64 - 1}
+    for f in sorted(fps)[:60]:
+        for _ in range(6):
+            for bit in rng.sample(range(64), rng.randrange(1, 6)):
+                f ^= 1 << bit
+            fps.add(f)
+    frame = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    want = sorted((a, b) for a, b in combinations(sorted(fps), 2) if (a ^ b).bit_count() <= budget)
+    pairs = lambda found: sorted(tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in found.collect())
+    assert pairs(simhash.near_pairs(frame, budget, None, part)) == want
+    few = pairs(simhash.near_pairs(frame, budget, 1, part))
+    assert set(few) <= set(want) and {f for p in few for f in p} == {f for p in want for f in p}
+    assert simhash.near_pairs(frame.limit(0), budget).count() == 0
+
+
 def test_components_of_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(500, 500), (700, 600), (700, 600), (None, 3)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
@@ -199,6 +218,15 @@ def test_near_sets_match_brute_force(spark, monkeypatch, hub, part):
     assert nearsets.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_sets_link_by_tries(spark, monkeypatch):
+    """Copies with some words replaced are linked without the buckets where their SimHashes are near."""
+    monkeypatch.setattr(nearsets, "rest", lambda members, sets, links: links)
+    base = words(300, 5, 5000).split()
+    rows = [(n, " ".join([*base[: 60 * n], *[f"new{n}"] * bool(n), *base[60 * n + 1 :]])) for n in range(5)]
+    rows += [(10 + n, words(300, 50 + n, 5000)) for n in range(5)]
+    assert sorted(r["doc_id"] for r in nearsets.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == [0, *range(10, 15)]
+
+
 # ---- lines
 
 
