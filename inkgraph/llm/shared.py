@@ -7,8 +7,11 @@ import itertools
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,9 @@ SLICES = 64
 BATCH_BYTES = 1 << 20
 #: Rows of one key from which a join broadcasts what the key meets; a table has at most its rows by this of such keys.
 HOT = 100_000
+#: Bits a key of a bitmap of keys, bits that a key sets, and words of 64 bits that a bitmap has at most.
+KEY_BITS, KEY_SPOTS, KEY_WORDS = 16, 3, 1 << 22
+_SPOT_FACTORS = np.random.default_rng(7).integers(0, 2**63, KEY_SPOTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 _roots: dict[str, tuple[SparkSession, str]] = {}
 _serial = itertools.count()
@@ -200,3 +206,39 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", co
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where ``body`` names it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _spots(keys: np.ndarray, words: int) -> np.ndarray:
+    """Bits of ``words`` words of 64, a power of two, that each of ``keys`` sets: a row for each of its spots."""
+    keys = keys.astype(np.int64).view(np.uint64)
+    keys = keys ^ (keys >> np.uint64(32))
+    return (keys * _SPOT_FACTORS[:, None]) >> np.uint64(64 - (64 * words - 1).bit_length())
+
+
+def maybe_among(key: Column, keys: DataFrame) -> Column:
+    """Whether ``keys``, a table of one column of longs that aren't null, may have ``key``, a long that isn't null: true
+    for all that it has and up to 5 in 1,000 others.
+
+    Tasks get a bitmap of the keys (a Bloom filter), so that rows which a join would drop needn't be sent to it whatever
+    the sizes of both. It has two to four bytes a key and 32 MiB at most; beyond 17 million keys more others pass."""
+    name = keys.columns[0]
+    words = min(KEY_WORDS, 1 << max(0, (keys.count() * KEY_BITS // 64).bit_length()))
+
+    def spots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(_spots(batch[name].to_numpy(), words))
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    bitmap = np.zeros(words, np.int64)
+    filled = keys.mapInPandas(spots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    bitmap = bitmap.view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def held(values: pd.Series) -> pd.Series:
+        out = np.ones(len(values), bool)
+        for at in _spots(values.to_numpy(), words):
+            out &= (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(out)
+
+    return held(key)

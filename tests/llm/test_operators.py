@@ -227,6 +227,55 @@ def test_near_sets_link_by_tries(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in nearsets.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == [0, *range(10, 15)]
 
 
+def test_near_sets_shuffle_few_texts(spark):
+    """Texts that have no near copy stay where they are, whatever Spark may broadcast."""
+    rng = random.Random(3)
+    rows = [(n, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000))) for n in range(200)]
+    rows += [(1000 + n, f"{t} tail") for n, t in rows[:5]]
+    docs = spark.createDataFrame(rows, DOCS)
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        left = nearsets.keep_one(docs).select("doc_id", "text").collect()
+        spark.range(1).count()
+        after = written()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(tuple, left)) == rows[:200]
+    assert 0 < after - before < sum(len(t) for _, t in rows) / 2
+
+
+def test_cells_bound_what_sets_share():
+    """Never less than what two sets share, and near it; sets that may link are all suspected, others mostly not."""
+    rng = np.random.default_rng(5)
+    draw = lambda n, top=2**64: np.unique(rng.integers(0, top, n, np.uint64))
+    sets = [draw(n) for n in (0, 1, 2, 3, 17, 400, 400, 500, 511, 512, 3000)] + [draw(700, 2**50), draw(650, 2**50)]
+    for base in list(sets[5:]):
+        for share in (0.3, 0.75, 0.88, 0.92, 0.99):
+            sets.append(np.union1d(base[rng.random(len(base)) < share], draw(max(1, int(len(base) * (1 - share))), 2**64 if base[-1] > 2**50 else 2**50)))
+    held, sizes = [nearsets.cells(s) for s in sets], np.array([len(s) for s in sets])
+    assert any(not h for h in held) and max(map(len, held)) == 2048
+    labels = np.arange(len(sets)) // 2
+    links, suspected = set(), set()
+    for i, j in combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        most = nearsets.most_common(held[i], held[j], sizes[i], sizes[j])
+        assert common <= most <= min(sizes[i], sizes[j])
+        if labels[i] != labels[j] and nearsets.enough(common, sizes[i], sizes[j]) and sizes[i]:
+            links |= {i, j}
+        if labels[i] != labels[j] and nearsets.enough(most, sizes[i], sizes[j]):
+            suspected |= {i, j}
+    found = nearsets.suspects(np.arange(len(sets)), sizes, held, labels)
+    assert links and set(np.flatnonzero(found).tolist()) == suspected >= links and len(suspected) < len(sets)
+
+
 # ---- lines
 
 

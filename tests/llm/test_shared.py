@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkgraph.llm import shared
 
@@ -46,3 +47,15 @@ def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
         assert spark.conf.get(name).rstrip("b") == "1000"
     finally:
         spark.conf.set(name, own)
+
+
+@pytest.mark.parametrize("words", [1 << 22, 2])
+def test_bitmap_of_keys(spark, monkeypatch, words):
+    """Has every key, whatever its size, and few others while it may grow."""
+    monkeypatch.setattr(shared, "KEY_WORDS", words)
+    keys = spark.range(3000).select((F.xxhash64("id") if words > 2 else F.col("id") - 1500).alias("k"))
+    rows = keys.union(spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id")))
+    left = rows.where(shared.maybe_among(F.col("k"), keys))
+    assert left.join(keys, "k").count() == 3000
+    assert words == 2 or left.count() < 3200
+    assert rows.where(shared.maybe_among(F.col("k"), keys.limit(0))).count() == 0
